@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import read
 from colloquy.llm.exact import exact_dedup
+from colloquy.llm.packing import pack
+from colloquy.llm.tokens import token_counts
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents").select("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup,)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm.bpe import bpe_digests
 from colloquy.llm.common import read
 from colloquy.llm.exact import exact_dedup
 from colloquy.llm.packing import pack
@@ -24,8 +25,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("text"))
 
 
+def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op7_bpe_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

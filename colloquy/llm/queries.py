@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.bpe import bpe_digests
 from colloquy.llm.common import read
 from colloquy.llm.exact import exact_dedup
+from colloquy.llm.licences import scan_licences
 from colloquy.llm.packing import pack
+from colloquy.llm.secret_scan import scan_secrets
 from colloquy.llm.tokens import token_counts
 
 
@@ -29,8 +31,16 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op7_bpe_trie)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op7_bpe_trie, op9_secret_scan, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

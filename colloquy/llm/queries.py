@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.llm.bpe import bpe_digests
 from colloquy.llm.common import read
@@ -13,6 +14,9 @@ from colloquy.llm.licences import scan_licences
 from colloquy.llm.packing import pack
 from colloquy.llm.secret_scan import scan_secrets
 from colloquy.llm.tokens import token_counts
+from colloquy.llm.urls import LONG_SUFFIXES, STRONGEST, WEAKEST, judge_urls
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("text"))
 
 
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,7 +49,38 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op7_bpe_trie, op9_secret_scan, op10_licence_scan)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op7_bpe_trie, op9_secret_scan, op10_licence_scan)}
+
+
+def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:
+    long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+    rules = " UNION ALL ".join(f"SELECT '{r.partition('/')[0]}' AS h, '/{r.partition('/')[2]}' AS p, '{r}' AS r, '{v}' AS v" for r, v in URL_RULES.items())
+
+    def strength(table: str) -> str:
+        return f"""(SELECT CASE WHEN rho <= 1 / (1 + {STRONGEST}e0) THEN {STRONGEST}e0 WHEN rho >= 1 / (1 + {WEAKEST}e0) THEN {WEAKEST}e0 ELSE coalesce(1 / rho - 1, {STRONGEST}e0) END
+            FROM (SELECT (s - p * (1 - p) * k) / nullif(p * (1 - p) * (t - q / t - k), 0) AS rho
+                  FROM (SELECT sum(y * y / n) - sum(y) * sum(y) / sum(n) AS s, sum(y) / sum(n) AS p, count(*) - 1 AS k, sum(n) AS t, sum(n * n) AS q FROM {table} WHERE n > 0)))"""
+
+    return f"""
+        WITH a AS (SELECT page_id, coalesce(url, '') AS u, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h0, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') AS path FROM a),
+        marks AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+        parts AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS y, string_split(host, '.') AS x,
+                         array_to_string(x[-2:], '.') AS two FROM b LEFT JOIN marks USING (page_id) GROUP BY host),
+        hosts AS (SELECT host, n, y, CASE WHEN two IN ({long}) THEN array_to_string(x[-3:], '.') ELSE two END AS domain,
+                         CASE WHEN two IN ({long}) THEN two ELSE x[-1] END AS suffix FROM parts),
+        domains AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM hosts GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM domains GROUP BY ALL),
+        k AS (SELECT {strength("hosts")} AS kh, {strength("domains")} AS kd, {strength("suffixes")} AS ks, (SELECT (sum(y) + 1) / (sum(n) + 2) FROM suffixes) AS m),
+        s2 AS (SELECT suffix, (y + m * ks) / (n + ks) AS ms FROM suffixes, k),
+        d2 AS (SELECT domain, (y + ms * kd) / (n + kd) AS md FROM domains JOIN s2 USING (suffix), k),
+        h2 AS (SELECT host, (y + md * kh) / (n + kh) AS mh, mh - {z}e0 * sqrt(mh * (1 - mh) / (n + kh + 1)) AS lower FROM hosts JOIN d2 USING (domain), k),
+        rules AS ({rules}),
+        best AS (SELECT page_id, arg_max(r, length(r)) AS rule, arg_max(v, length(r)) AS v
+                 FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN lower > {limit} THEN 'block' ELSE 'allow' END) AS verdict, round(lower, 6) AS lower
+        FROM b JOIN h2 USING (host) LEFT JOIN best USING (page_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -50,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
             FROM t WINDOW w AS (PARTITION BY norm)""",
+        "op5_url_reputation": _url_sql(),
     }

@@ -12,6 +12,7 @@ from colloquy.llm.common import read
 from colloquy.llm.exact import exact_dedup
 from colloquy.llm.licences import scan_licences
 from colloquy.llm.packing import pack
+from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import scan_secrets
 from colloquy.llm.tokens import token_counts
 from colloquy.llm.urls import LONG_SUFFIXES, STRONGEST, WEAKEST, judge_urls
@@ -19,6 +20,13 @@ from colloquy.llm.urls import LONG_SUFFIXES, STRONGEST, WEAKEST, judge_urls
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = rate_quality(docs, train_quality(docs, grades_of(read(spark, sf_dir, "labels"))))
+    tails = [F.round(F.col("_tails")[k], 6).alias(name) for k, name in enumerate(("p_readable", "p_good"))]
+    return rated.select("_row.doc_id", F.round("_expected", 6).alias("expected_grade"), *tails, F.col("_kept").alias("kept"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +57,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op7_bpe_trie, op9_secret_scan, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op7_bpe_trie, op9_secret_scan, op10_licence_scan)}
 
 
 def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:

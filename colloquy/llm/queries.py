@@ -16,6 +16,7 @@ from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import scan_secrets
 from colloquy.llm.tokens import token_counts
 from colloquy.llm.urls import LONG_SUFFIXES, STRONGEST, WEAKEST, judge_urls
+from colloquy.llm.vectors import embedding_dedup
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -48,6 +49,10 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,7 +62,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op7_bpe_trie, op9_secret_scan, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan)}
 
 
 def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:

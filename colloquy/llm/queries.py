@@ -11,6 +11,7 @@ from colloquy.llm.bpe import bpe_digests
 from colloquy.llm.common import read
 from colloquy.llm.exact import exact_dedup
 from colloquy.llm.licences import scan_licences
+from colloquy.llm.near import near_dedup
 from colloquy.llm.packing import pack
 from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import scan_secrets
@@ -45,6 +46,10 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("_node")
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +67,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan)}
 
 
 def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:

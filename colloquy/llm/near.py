@@ -131,17 +131,17 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return by_batches(docs.select("_id", "_node", "_text"), make, "_id long, _node long, _words binary, bands array<long>")
 
 
-def verify(items: DataFrame, texts: DataFrame, least: float, shingle: int, every: bool) -> DataFrame:
-    """Links (u, v) between the asking and the held nodes of every block.
+def verify(items: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Links (u, v) that join the parts of the nodes of each block: asking nodes are compared with all held ones.
 
-    items: hub, block, chunk, node, asks. With every, a held node may be linked many times; without, each asking node
-    is linked once a block, which is enough for components.
+    items: hub, block, chunk, node, part, asks. Of the links found in a block those are returned that join two parts
+    which no link before them joined, so a block of n nodes returns fewer than n links.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         shingler = Shingler(shingle)
-        asks = table.column("asks").to_pylist()
-        nodes = table.column("node").to_numpy()
+        asks, part = table.column("asks").to_pylist(), table.column("part").to_pylist()
+        nodes = table.column("node").to_pylist()
         sets = [multiset(shingler.of((t or "").lower().split())) for t in table.column("_text").to_pylist()]
         held = [i for i, a in enumerate(asks) if not a]
         sizes = np.array([len(sets[i]) for i in held], float)
@@ -149,6 +149,13 @@ def verify(items: DataFrame, texts: DataFrame, least: float, shingle: int, every
         owner = np.repeat(np.arange(len(held)), [len(sets[i]) for i in held])
         order = np.argsort(elements, kind="stable")
         elements, owner = elements[order], owner[order]
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
         left, right = [], []
         for i, a in enumerate(asks):
             if a and held:
@@ -156,57 +163,70 @@ def verify(items: DataFrame, texts: DataFrame, least: float, shingle: int, every
                 n = np.searchsorted(elements, sets[i], "right") - low
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 shared = np.bincount(owner[at], minlength=len(held))
-                ok = np.nonzero(shared >= least * (len(sets[i]) + sizes - shared) - 1e-9)[0]
-                for k in ok.tolist() if every else ok[:1].tolist():
-                    left.append(nodes[i])
-                    right.append(nodes[held[k]])
+                for k in np.nonzero(shared >= least * (len(sets[i]) + sizes - shared) - 1e-9)[0].tolist():
+                    p, q = top(part[i]), top(part[held[k]])
+                    if p != q:
+                        above[max(p, q)] = min(p, q)
+                        left.append(nodes[i])
+                        right.append(nodes[held[k]])
         return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
-    return items.join(texts, "node").select("hub", "block", "chunk", "node", "asks", "_text").groupBy("hub", "block", "chunk").applyInArrow(compare, "u long, v long").where("u != v")
+    return items.join(texts, "node").select("hub", "block", "chunk", "node", "part", "asks", "_text").groupBy("hub", "block", "chunk").applyInArrow(compare, "u long, v long")
 
 
 def _dealt(held: DataFrame, asking: DataFrame) -> DataFrame:
-    """(hub, node) held and asking -> items in blocks of held and chunks of asking nodes, each block meeting each chunk."""
+    """(hub, node, part) held and asking -> items in blocks of held and chunks of asking nodes, each block meeting each chunk."""
     parts = lambda df, name: df.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = parts(held, "blocks").join(parts(asking, "chunks"), "hub")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    a = held.join(sizes, "hub").select("hub", mine("blocks").alias("block"), all_of("chunks").alias("chunk"), "node", F.lit(False).alias("asks"))
-    b = asking.join(sizes, "hub").select("hub", all_of("blocks").alias("block"), mine("chunks").alias("chunk"), "node", F.lit(True).alias("asks"))
+    a = held.join(sizes, "hub").select("hub", mine("blocks").alias("block"), all_of("chunks").alias("chunk"), "node", "part", F.lit(False).alias("asks"))
+    b = asking.join(sizes, "hub").select("hub", all_of("blocks").alias("block"), mine("chunks").alias("chunk"), "node", "part", F.lit(True).alias("asks"))
     return a.unionByName(b)
 
 
 def near_components(reps: DataFrame, texts_of_nodes: DataFrame, least: float, shingle: int) -> DataFrame:
-    """(node, component) of the representatives (node, bands) that have a near copy; texts_of_nodes: (node, _text)."""
+    """(node, component) of the representatives (node, bands) that have a near copy; texts_of_nodes: (node, _text).
+
+    Three steps settle every pair that shares a bucket. Each document meets its bucket's first one. Then the largest
+    component of a bucket meets the bucket's other documents, and is done there. What is left of a bucket in more than
+    one component meets itself in blocks.
+    """
     spread = reps.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
     # Rows of buckets of two documents or more.
-    open_ = saved(spread.join(buckets, ["band", "hash"]).select("band", "hash", "node", "first"), "buckets")
-    texts = saved(texts_of_nodes.join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
-    pairs = open_.where("node != first").select(F.col("first").alias("hub"), "node").distinct()
-    hubs = pairs.select("hub", F.col("hub").alias("node")).distinct()
-    links = saved(verify(_dealt(pairs, hubs), texts, least, shingle, True), "links")
-    open_ = open_.drop("first")
-    pivots = 1
-    while True:
-        parts = saved(connected_components(links), "components")
-        now = open_.join(parts, "node", "left").select("band", "hash", "node", F.coalesce("component", "node").alias("c"))
-        groups = now.groupBy("band", "hash", "c").agg(F.count("*").alias("n"))
-        bucket = Window.partitionBy("band", "hash")
-        ranked = groups.withColumns({"r": F.row_number().over(bucket.orderBy(F.col("n").desc(), "c")), "k": F.count("*").over(bucket)}).where("k > 1").drop("n", "k")
-        ranked = saved(ranked, "ranks")
-        if not ranked.limit(1).count():
-            return parts
-        pivot = ranked.where(F.col("r") <= pivots).select("band", "hash", F.col("c").alias("hub"), F.col("r").alias("p"))
-        asking = now.join(ranked.join(pivot, ["band", "hash"]).where("r > p").select("band", "hash", "c", "hub"), ["band", "hash", "c"]).select("hub", "node").distinct()
-        asking = saved(asking, "asking")
-        members = open_.select("node").distinct().join(parts, "node", "left").select(F.coalesce("component", "node").alias("hub"), "node")
-        held = members.join(asking.select("hub").distinct(), "hub", "left_semi")
-        links = saved(links.unionByName(verify(_dealt(held, asking), texts, least, shingle, False)), "links")
-        # A pivot component has met all others of the bucket: its rows there are settled.
-        rest = now.join(ranked, ["band", "hash", "c"]).where(F.col("r") > pivots)
-        open_ = saved(rest.select("band", "hash", "node"), "buckets")
-        pivots = 16
+    shared = saved(spread.join(buckets, ["band", "hash"]).select("band", "hash", "node", "first"), "buckets")
+    members = shared.select("node").distinct()
+    texts = saved(texts_of_nodes.join(members, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
+    own = F.col("node").alias("part")
+    pairs = shared.where("node != first").select(F.col("first").alias("hub"), "node", own).distinct()
+    hubs = pairs.select("hub", F.col("hub").alias("node"), F.col("hub").alias("part")).distinct()
+    links = saved(verify(_dealt(pairs, hubs), texts, least, shingle), "links")
+
+    parts = saved(connected_components(links), "components")
+    now, ranked = _parts_of_buckets(shared, parts)
+    pivot = ranked.where("r = 1").select("band", "hash", F.col("part").alias("hub"))
+    asking = ranked.where("r > 1").join(pivot, ["band", "hash"]).join(now, ["band", "hash", "part"]).select("hub", "node", "part").distinct()
+    asking = saved(asking, "asking")
+    held = members.join(parts, "node", "left").select(F.coalesce("component", "node").alias("hub"), "node", F.coalesce("component", "node").alias("part"))
+    held = held.join(asking.select("hub").distinct(), "hub", "left_semi")
+    links = saved(links.unionByName(verify(_dealt(held, asking), texts, least, shingle)), "links")
+
+    rest = now.join(ranked.where("r > 1"), ["band", "hash", "part"]).select("band", "hash", "node")
+    parts = saved(connected_components(links), "components")
+    now, ranked = _parts_of_buckets(rest, parts)
+    left = now.join(ranked, ["band", "hash", "part"]).select(F.xxhash64("band", "hash").alias("hub"), "node", "part")
+    left = saved(left, "unsettled")
+    return connected_components(links.unionByName(verify(_dealt(left, left), texts, least, shingle)))
+
+
+def _parts_of_buckets(rows: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bucket rows with their component so far, and the components of each bucket that has several, ranked by size."""
+    now = saved(rows.join(parts, "node", "left").select("band", "hash", "node", F.coalesce("component", "node").alias("part")), "bucket-parts")
+    bucket = Window.partitionBy("band", "hash")
+    sized = now.groupBy("band", "hash", "part").agg(F.count("*").alias("n"))
+    ranked = sized.select("band", "hash", "part", F.row_number().over(bucket.orderBy(F.col("n").desc(), "part")).alias("r"), F.count("*").over(bucket).alias("k"))
+    return now, saved(ranked.where("k > 1").drop("k"), "ranks")
 
 
 def near_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

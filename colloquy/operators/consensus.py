@@ -33,7 +33,7 @@ def with_sticky(df: DataFrame) -> DataFrame:
 def reference_vectors(df: DataFrame) -> DataFrame:
     """df with before: the reference vector each row is compared with, and after: the one its own update leaves.
 
-    The mean over speakers of their last vectors is a running sum of each speaker's changes, so two window sums per
+    A speaker counts from their own first row on, with no vector yet there. The mean over speakers of their last vectors is a running sum of each speaker's changes, so two window sums per
     dimension give it without gathering a meeting in one task. Vectors of unequal length in a meeting are an error.
     """
     sizes = F.size("vec")
@@ -42,7 +42,7 @@ def reference_vectors(df: DataFrame) -> DataFrame:
     first = F.when(F.row_number().over(by_speaker()) == 1, 1).otherwise(0)
     rows = df.withColumns({"_new": first, "_ok": F.coalesce(same.cast("int"), F.lit(0))})
     until = lambda end: by_meeting().rowsBetween(Window.unboundedPreceding, end)
-    rows = rows.withColumns({"_n1": F.coalesce(F.sum("_new").over(until(-1)), F.lit(0)), "_n2": F.coalesce(F.sum("_new").over(until(-2)), F.lit(0))})
+    rows = rows.withColumns({"_n1": F.sum("_new").over(until(0)), "_n2": F.coalesce(F.sum("_new").over(until(-1)), F.lit(0))})
     cells = rows.where("_ok = 0").select("meeting_id", "speaker_id", "seq", "_n1", "_n2", F.posexplode("vec").alias("dim", "x"))
     per_speaker = Window.partitionBy("meeting_id", "speaker_id", "dim").orderBy("seq")
     by_dim = Window.partitionBy("meeting_id", "dim").orderBy("seq")

@@ -101,11 +101,12 @@ def _cos(a: str, b: str) -> str:
 
 
 def _refs(rows: str, lag: int, name: str) -> str:
-    """Reference vectors straight from their definition: the mean over speakers of the last vector at least lag rows back."""
+    """Reference vectors straight from their definition: the sum of the speakers' last vectors at least lag rows back over the speakers up to the row after."""
     return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS k FROM {rows}),
     {name}_l AS (SELECT a.meeting_id, a.k, b.speaker_id, arg_max(b.vec, b.k) AS vec FROM {name}_o a JOIN {name}_o b ON a.meeting_id = b.meeting_id AND b.k <= a.k - {lag} GROUP BY ALL),
     {name}_e AS (SELECT meeting_id, k, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM {name}_l),
-    {name} AS (SELECT meeting_id, k, list(x ORDER BY dim) AS ref FROM (SELECT meeting_id, k, dim, avg(x) AS x FROM {name}_e GROUP BY ALL) GROUP BY ALL)"""
+    {name}_n AS (SELECT a.meeting_id, a.k, count(DISTINCT b.speaker_id) AS n FROM {name}_o a JOIN {name}_o b ON a.meeting_id = b.meeting_id AND b.k <= a.k - {lag} + 1 GROUP BY ALL),
+    {name} AS (SELECT meeting_id, k, list(x / n ORDER BY dim) AS ref FROM (SELECT meeting_id, k, dim, sum(x) AS x FROM {name}_e GROUP BY ALL) JOIN {name}_n USING (meeting_id, k) GROUP BY ALL)"""
 
 
 _SCORED = f"""{_VEC}, {_refs("st", 2, "rf")},

@@ -75,8 +75,8 @@ def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:
     rules = " UNION ALL ".join(f"SELECT '{r.partition('/')[0]}' AS h, '/{r.partition('/')[2]}' AS p, '{r}' AS r, '{v}' AS v" for r, v in URL_RULES.items())
 
     def strength(table: str) -> str:
-        return f"""(SELECT CASE WHEN rho <= 1 / (1 + {STRONGEST}e0) THEN {STRONGEST}e0 WHEN rho >= 1 / (1 + {WEAKEST}e0) THEN {WEAKEST}e0 ELSE coalesce(1 / rho - 1, {STRONGEST}e0) END
-            FROM (SELECT (s - p * (1 - p) * k) / nullif(p * (1 - p) * (t - q / t - k), 0) AS rho
+        return f"""(SELECT CASE WHEN t IS NULL THEN {WEAKEST}e0 WHEN rho <= 1 / (1 + {STRONGEST}e0) THEN {STRONGEST}e0 WHEN rho >= 1 / (1 + {WEAKEST}e0) THEN {WEAKEST}e0 ELSE coalesce(1 / rho - 1, {STRONGEST}e0) END
+            FROM (SELECT (s - p * (1 - p) * k) / nullif(p * (1 - p) * (t - q / t - k), 0) AS rho, t
                   FROM (SELECT sum(y * y / n) - sum(y) * sum(y) / sum(n) AS s, sum(y) / sum(n) AS p, count(*) - 1 AS k, sum(n) AS t, sum(n * n) AS q FROM {table} WHERE n > 0)))"""
 
     return f"""

@@ -49,13 +49,13 @@ def _domain_and_suffix(host: Column) -> tuple[Column, Column]:
 
 
 def _strength(members: DataFrame) -> Column:
-    """Sum of the beta prior's parameters by moments, for members with n labelled pages of which y bad."""
+    """Sum of the beta prior's parameters by moments, for members with n labelled pages of which y bad; weakest without any."""
     n, y = F.col("n"), F.col("y")
     total, p = F.sum(n), F.sum(y) / F.sum(n)
     spread = F.sum(y * y / n) - F.sum(y) * F.sum(y) / F.sum(n)
     k = F.count("*") - 1
     rho = (spread - p * (1 - p) * k) / F.nullif(p * (1 - p) * (total - F.sum(n * n) / total - k), F.lit(0.0))
-    return F.when(rho <= 1 / (1 + STRONGEST), STRONGEST).when(rho >= 1 / (1 + WEAKEST), WEAKEST).otherwise(F.coalesce(1 / rho - 1, F.lit(STRONGEST)))
+    return F.when(total.isNull(), WEAKEST).when(rho <= 1 / (1 + STRONGEST), STRONGEST).when(rho >= 1 / (1 + WEAKEST), WEAKEST).otherwise(F.coalesce(1 / rho - 1, F.lit(STRONGEST)))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.6448536269514722) -> DataFrame:

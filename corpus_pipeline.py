@@ -5,17 +5,16 @@ Every stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the c
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import read, shared_dir
+from colloquy.llm.common import read
 from colloquy.llm.exact import without_copies
 from colloquy.llm.near import without_near_copies
 from colloquy.llm.packing import pack
 from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import mask_secrets
+from colloquy.sources.shared import fresh
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each one's result written as Parquet in the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = fresh(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")

@@ -116,8 +116,8 @@ def allowed_removed(tokens: DataFrame, allowlist: DataFrame) -> DataFrame:
 def tokens(df: DataFrame, allowlist: DataFrame | None = None) -> DataFrame:
     """One row per span: meeting_id, seq, kind, start, end, original, placeholder, hash. df: with_spans' rows.
 
-    Placeholders are numbered for each meeting and kind in order of seq and place. The numbers come from counts per
-    row added up over the rows before it, not from a window over tokens, so a meeting's tokens are never gathered.
+    Placeholders are numbered for each meeting and kind in order of seq and place. The window holds tokens only, a small
+    part of the texts, and spills; a meeting with most of all tokens still makes one long task.
     """
     rows = df.where(F.size("spans") > 0).select("meeting_id", "seq", "text", F.explode("spans").alias("s"))
     rows = rows.select("meeting_id", "seq", "s.kind", "s.start", "s.end", F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("original"))

@@ -237,5 +237,8 @@ ORACLES = {
     "slo_alerts": f"""WITH {_E}, r AS (SELECT date_trunc('hour', arrived_at) AS ts, type AS label, count(*) / 3600.0::DOUBLE AS rate FROM e GROUP BY 1, 2),
         i AS (SELECT *, epoch(ts)::BIGINT // 3600 - row_number() OVER (PARTITION BY label ORDER BY ts) AS island FROM r WHERE rate > 2 / 3600.0::DOUBLE)
         SELECT label, min(ts) AS from_ts, max(ts) AS to_ts, count(*) AS windows FROM i GROUP BY label, island HAVING count(*) >= 2""",
+    "throttled_calls": f"""WITH RECURSIVE {_E}, t AS (SELECT meeting_id, floor(epoch(arrived_at))::BIGINT AS x FROM e),
+        r AS (SELECT meeting_id, min(x) AS x FROM t GROUP BY 1 UNION ALL SELECT r.meeting_id, min(t.x) AS x FROM r JOIN t ON t.meeting_id = r.meeting_id AND t.x >= r.x + 86400 GROUP BY r.meeting_id)
+        SELECT meeting_id, x AS "at" FROM r""",
     "embed_dedup": "SELECT sha256(lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s', ' ', 'g'))) AS key, count(*) AS uses, length(min(text))::INT AS n_chars FROM conversations GROUP BY 1",
 }

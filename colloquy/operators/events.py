@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import clocks as K
+from colloquy.operators.numbering import numbered
 
 MESSAGE = "type string, meeting_id string, speaker_id string, seq bigint, ts_client_ms bigint, payload string"
 
@@ -80,7 +81,7 @@ def envelope_log(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         log = log.unionByName(p)
     log = log.where(F.coalesce("meeting_id", F.lit("")) != "")
-    return log.withColumn("seq", F.row_number().over(Window.partitionBy("meeting_id").orderBy("ts", "type", "payload")))
+    return numbered(log, ["meeting_id"], ["ts", "type", "payload"], F.to_date("ts"), "seq")
 
 
 def ring(events: DataFrame, seconds: int = 60, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.clocks import as_json
@@ -10,6 +10,7 @@ from colloquy.functions.text import embedding_key
 from colloquy.operators import events as E
 from colloquy.operators import shards as S
 from colloquy.operators import slo
+from colloquy.operators.numbering import numbered
 from colloquy.sources.adapters import envelopes, utterances
 
 
@@ -76,8 +77,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("meeting_id").orderBy("arrived_at", "seq")
-    return envelopes(spark, sf_dir).select("meeting_id", F.col("seq").alias("event_id"), F.row_number().over(order).alias("meeting_seq"))
+    out = numbered(envelopes(spark, sf_dir).select("meeting_id", "arrived_at", "seq"), ["meeting_id"], ["arrived_at", "seq"], F.to_date("arrived_at"), "meeting_seq")
+    return out.select("meeting_id", F.col("seq").alias("event_id"), "meeting_seq")
 
 
 def ring_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +213,8 @@ ORACLES = {
         k AS (SELECT p.*, w.who, coalesce(x.n, 0) - coalesce(y.n, 0) AS d FROM p JOIN (SELECT DISTINCT meeting_id, who FROM c) w USING (meeting_id) LEFT JOIN c x ON x.meeting_id = p.meeting_id AND x.seq = a AND x.who = w.who LEFT JOIN c y ON y.meeting_id = p.meeting_id AND y.seq = b AND y.who = w.who)
         SELECT meeting_id, a, b, CASE WHEN max(d) <= 0 AND min(d) < 0 THEN 'before' WHEN min(d) >= 0 AND max(d) > 0 THEN 'after' ELSE 'concurrent' END AS relation FROM k GROUP BY ALL""",
     "event_log": f"""WITH {_U}, {_E}, l AS (SELECT 'utterance' AS type, meeting_id, arrived_at AS ts, sha256(text) AS payload FROM u UNION ALL SELECT type, meeting_id, arrived_at, payload FROM e WHERE type <> 'heartbeat')
-        SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ts, type, payload)::INT AS seq FROM l""",
-    "envelope_seq": f"WITH {_E} SELECT meeting_id, seq AS event_id, row_number() OVER (PARTITION BY meeting_id ORDER BY arrived_at, seq)::INT AS meeting_seq FROM e",
+        SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ts, type, payload)::BIGINT AS seq FROM l""",
+    "envelope_seq": f"WITH {_E} SELECT meeting_id, seq AS event_id, row_number() OVER (PARTITION BY meeting_id ORDER BY arrived_at, seq)::BIGINT AS meeting_seq FROM e",
     "ring_window": f"WITH {_E} SELECT seq, type, count(*) OVER w AS in_ring, min(arrived_at) OVER w AS oldest FROM e WINDOW w AS (PARTITION BY type ORDER BY arrived_at RANGE BETWEEN INTERVAL 3599999999 microseconds PRECEDING AND CURRENT ROW)",
     "meeting_snapshot": f"""WITH {_E}, m AS (SELECT max(arrived_at) AS t FROM e) SELECT meeting_id, count(*) AS n_events, max(arrived_at) AS last_at, round(arg_max(value, (arrived_at, seq)) FILTER (type = 'consensus'), 6) AS score,
         string_agg(seq || ':' || type, ',' ORDER BY seq, type, payload) AS events FROM e, m WHERE arrived_at > t - INTERVAL 1 day GROUP BY 1""",

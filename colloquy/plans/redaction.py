@@ -19,7 +19,7 @@ KEY = "0123456789abcdef0123456789abcdef"
 
 def _spans(kind: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = documents(spark, sf_dir).select("seq", F.explode(kind(F.col("text"))).alias("s"))
+        docs = documents(spark, sf_dir).select("seq", F.explode_outer(kind(F.col("text"))).alias("s")).where("s is not null")
         return docs.select("seq", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
     return query
@@ -44,7 +44,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).select("seq", F.explode("spans").alias("s")).select("seq", "s.kind", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+    return _resolved(spark, sf_dir).select("seq", F.explode_outer("spans").alias("s")).where("s is not null").select("seq", "s.kind", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

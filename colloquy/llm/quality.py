@@ -17,6 +17,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +75,21 @@ class Features:
         return columns, np.fromiter(chain(repeat(n**-0.25, len(words)), (4 * c / n for c in shapes.values())), float, len(columns))
 
 
-def informative(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, z: float = 3.5, least: int = 8) -> np.ndarray:
+@dataclass
+class Sample:
+    """Rated rows laid end to end: their feature columns and values, how many features each row has, and its grade."""
+
+    columns: np.ndarray
+    values: np.ndarray
+    sizes: np.ndarray
+    grades: np.ndarray
+
+
+def informative(sample: Sample, z: float = 3.5, least: int = 8) -> np.ndarray:
     """Buckets that occur in at least `least` rows and whose rows' mean grade is z standard errors off the mean."""
-    index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    n = np.bincount(index, minlength=BUCKETS)
-    total = np.bincount(index, weights=grades[owner], minlength=BUCKETS)
+    grades = sample.grades
+    n = np.bincount(sample.columns, minlength=BUCKETS)
+    total = np.bincount(sample.columns, weights=np.repeat(grades.astype(np.float32), sample.sizes), minlength=BUCKETS)
     mean, sd = (grades.mean(), max(grades.std(), 1e-9)) if len(grades) else (0.0, 1.0)
     return np.nonzero((n >= least) & (np.abs(total - n * mean) >= z * sd * np.sqrt(np.maximum(n, 1))))[0]
 
@@ -106,33 +116,34 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
+def fit_ordinal(sample: Sample, n_grades: int = 3, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
     """Maximum likelihood of the cumulative logit over the informative buckets by Adam; weights decay, thresholds stay in order.
 
     Without rows the weights are empty and the thresholds those of equal grades.
     """
-    buckets = informative(rows, grades)
-    column = np.full(BUCKETS, -1, np.int64)
+    grades, rows = sample.grades, len(sample.grades)
+    buckets = informative(sample)
+    column = np.full(BUCKETS, -1, np.int32)
     column[buckets] = np.arange(len(buckets))
     width = len(buckets)
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows]).astype(np.int64)
-    index = column[np.concatenate([i for i, _ in rows])] if rows else np.zeros(0, np.int64)
-    value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-    owner, index, value = owner[index >= 0], index[index >= 0], value[index >= 0]
-    share = (np.bincount(grades, minlength=n_grades) + 1) / (len(rows) + n_grades)
+    index = column[sample.columns]
+    known = index >= 0
+    owner = np.repeat(np.arange(rows, dtype=np.int32), sample.sizes)[known].astype(np.int64)
+    index, value = index[known].astype(np.int64), sample.values[known].astype(float)
+    share = (np.bincount(grades, minlength=n_grades) + 1) / (rows + n_grades)
     above = np.clip(1 - np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
     params = [np.zeros(width), -np.log(above / (1 - above))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for t in range(1, steps + 1 if rows else 1):
         w, theta = params
-        f = np.bincount(owner, weights=w[index] * value, minlength=len(rows))
+        f = np.bincount(owner, weights=w[index] * value, minlength=rows)
         ends = np.concatenate([[-np.inf], theta, [np.inf]])
         high, low = sigmoid(ends[grades + 1] - f), sigmoid(ends[grades] - f)
         p = np.maximum(high - low, 1e-12)
         d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
-        g_f = (d_high - d_low) / len(rows)
-        g_theta = np.array([(d_low[grades == k + 1].sum() - d_high[grades == k].sum()) / len(rows) for k in range(len(theta))])
+        g_f = (d_high - d_low) / rows
+        g_theta = np.array([(d_low[grades == k + 1].sum() - d_high[grades == k].sum()) / rows for k in range(len(theta))])
         for i, g in enumerate((np.bincount(index, weights=value * g_f[owner], minlength=width) + decay * w, g_theta)):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
@@ -145,7 +156,7 @@ def _lengthless(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
     """Features and grades of at most `rows` rated documents, those with the least hash of their id: one row an id.
 
     ratings: (id_col, grade). Null ids and grades are left out; of several grades of one id the lowest counts. Only the
@@ -166,8 +177,9 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "
         return step
 
     found = by_batches(texts.select("_id", "text", F.col("grade").cast("int").alias("grade")), make, "columns array<int>, values array<float>, grade int, _id long").toArrow().sort_by("_id")
-    flat = lambda name: [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0) for x in found.column(name)]
-    return list(zip([x.astype(np.int64) for x in flat("columns")], flat("values"), strict=True)), found.column("grade").to_numpy().astype(np.int64)
+    columns, values = (found.column(name).combine_chunks() for name in ("columns", "values"))
+    sizes = pa.compute.list_value_length(columns).to_numpy(zero_copy_only=False).astype(np.int64)
+    return Sample(columns.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), sizes, found.column("grade").to_numpy().astype(np.int64))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -178,7 +190,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 def train_quality(docs: DataFrame, ratings: DataFrame, rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on a sample of at most `rows` rated documents. The model's size is bounded by its features, not by the corpus."""
-    return fit_ordinal(*rated_sample(docs, ratings, rows, id_col, text_col))
+    return fit_ordinal(rated_sample(docs, ratings, rows, id_col, text_col))
 
 
 def rate_quality(docs: DataFrame, model: OrdinalModel, least: float = 1.5, text_col: str = "text") -> DataFrame:

@@ -119,9 +119,11 @@ class OrdinalModel:
 def fit_ordinal(sample: Sample, n_grades: int = 3, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
     """Maximum likelihood of the cumulative logit over the informative buckets by Adam; weights decay, thresholds stay in order.
 
-    Without rows the weights are empty and the thresholds those of equal grades.
+    Without rows nothing speaks against a document: the weights are empty and the thresholds so low that all are kept.
     """
     grades, rows = sample.grades, len(sample.grades)
+    if not rows:
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.linspace(-20, -10, n_grades - 1))
     buckets = informative(sample)
     column = np.full(BUCKETS, -1, np.int32)
     column[buckets] = np.arange(len(buckets))
@@ -135,7 +137,7 @@ def fit_ordinal(sample: Sample, n_grades: int = 3, steps: int = 200, rate: float
     params = [np.zeros(width), -np.log(above / (1 - above))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    for t in range(1, steps + 1 if rows else 1):
+    for t in range(1, steps + 1):
         w, theta = params
         f = np.bincount(owner, weights=w[index] * value, minlength=rows)
         ends = np.concatenate([[-np.inf], theta, [np.inf]])

@@ -14,9 +14,8 @@ from colloquy.sources.dictionary import terms
 
 
 def dict_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as dictionary lines."""
-    line = F.regexp_extract("text", "^[^\n]*", 0)
-    return terms(documents(spark, sf_dir).select(F.when(F.col("seq") % 5 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value")))
+    """Every line of every document as a dictionary line."""
+    return terms(documents(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("value")))
 
 
 def _checksums():

@@ -2,7 +2,7 @@
 
 Each token of an inferred encoding gets a chi-squared test of alphabet uniformity, a runs test and a serial-correlation
 test, combined by Fisher's method: p is small for words and large for random keys. How large it must be is set for each
-encoding and length class from the corpus's own histogram of p, so that the estimated share of tokens that aren't random
+encoding and length class from the histogram of p over the corpus's distinct tokens, so that the estimated share of tokens that aren't random
 among those taken stays below a false-discovery rate.
 """
 
@@ -105,20 +105,24 @@ def tokens(text: str) -> list[tuple[int, int, int, float]]:
 
 
 def p_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(stratum, bin, n): tokens of all documents by stratum and bin of p. At most 28 strata of 24 bins."""
+    """(stratum, bin, n): distinct tokens of all documents by stratum and bin of p. At most 28 strata of 24 bins.
+
+    A token counts once, however often it occurs: copies say nothing more about how p is spread. Tokens are known by a
+    hash of 64 bits and their length.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            count = np.zeros((len(ENCODINGS) * len(CLASSES), len(EDGES)), np.int64)
-            for t in texts_of(batch.column(0)):
-                for _, _, stratum, p in tokens(t):
-                    count[stratum, int(np.searchsorted(EDGES, p, "right")) - 1] += 1
-            at = np.nonzero(count)
-            return {"stratum": (at[0], pa.int64()), "bin": (at[1], pa.int64()), "n": (count[at], pa.int64())}
+            seen = {t[a:b]: (stratum, p) for t in texts_of(batch.column(0)) for a, b, stratum, p in tokens(t)}
+            own = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in seen]
+            at = np.searchsorted(EDGES, [p for _, p in seen.values()], "right") - 1
+            return {"token": (own, pa.int64()), "length": (list(map(len, seen)), pa.int64()), "stratum": ([x for x, _ in seen.values()], pa.int64()), "bin": (at, pa.int64())}
 
         return step
 
-    return by_batches(docs.select(docs[text_col].alias("text")), make, "stratum long, bin long, n long").groupBy("stratum", "bin").agg(F.sum("n").alias("n"))
+    found = by_batches(docs.select(docs[text_col].alias("text")), make, "token long, length long, stratum long, bin long")
+    once = found.groupBy("token", "length").agg(F.min("stratum").alias("stratum"), F.min("bin").alias("bin"))
+    return once.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
 
 
 def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, least: int = 30) -> dict[int, float]:

@@ -24,23 +24,31 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import by_batches, texts_of
 
 BUCKETS = 1 << 20
-_FOLD = [(re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_]*"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1*"), r"\1")]
+_FOLD = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1*"), r"\1")]
 EDGE = ".,;:!?\"'()[]{}«»„“”|*#$%&"
 PREFIXES = (4, 5, 6)
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts written without blanks
+LONG, SHAPE = 20, 12  # a longer word, and a longer shape, is read in windows
+LEARNT = 1_000_000  # most features kept ready in a task
 
 
 class Features:
     """Hashed features of whole texts, as (columns, values).
 
-    Every distinct word prefix of 4, 5 and 6 letters that occurs counts n ** -1/4 for a text of n chunks; every shape of
-    a chunk (runs of letters, capitals, digits and marks folded) and the repeating of the chunk before count four times
-    their share of the chunks. With a mapping of kept buckets only those are returned, by their column.
+    Every distinct whole word, and its prefixes of 4, 5 and 6 letters, counts n ** -1/4 for a text of n words. A chunk of
+    more than LONG letters or of a script without blanks is read over its full length: every window of 4, 5 and 6 letters
+    (of 2 and 3 too in such a script) is a word of it, and it counts as a word for every 6 letters (2 in such a script).
+    Every shape of a chunk (runs of letters, digits and marks folded; windows of SHAPE where it is longer) and the
+    repeating of the chunk before count four times their share of the shapes. With a mapping of kept buckets only those
+    are returned, by their column.
     """
 
     def __init__(self, kept: dict[int, int] | None = None):
         self.kept = kept
         self._words: dict[str, tuple[int, ...]] = {}
         self._shapes: dict[str, int] = {}
+        self._long: dict[str, tuple[int, Counter, int]] = {}
+        self._size = 0
         self._repeat = self._bucket("r")
 
     def _bucket(self, feature: str) -> int:
@@ -48,31 +56,52 @@ class Features:
         return b if self.kept is None else self.kept.get(b, -1)
 
     def _learn(self, chunk: str) -> None:
-        word = chunk[:200].strip(EDGE).lower()
-        self._words[chunk] = tuple({b for n in PREFIXES if (b := self._bucket(f"w{word[:n]}")) >= 0}) if word else ()
-        shape = chunk[:40]
+        word = chunk.strip(EDGE).lower()
+        unspaced = not chunk.isascii() and UNSPACED.search(chunk) is not None
+        parts = {word, *(word[:n] for n in PREFIXES)} if word else ()
+        sizes = (2, 3, *PREFIXES) if unspaced else PREFIXES if len(word) > LONG else ()
+        windows = (word[i : i + n] for n in sizes for i in range(len(word) - n + 1))
+        self._words[chunk] = tuple({b for part in chain(parts, windows) if (b := self._bucket(f"w{part}")) >= 0})
+        shape = chunk
         for pattern, by in _FOLD:
             shape = pattern.sub(by, shape)
-        self._shapes[chunk] = self._bucket(f"s{shape}")
+        pieces = max(1, len(word) // (2 if unspaced else 6)) if sizes else 1
+        shapes = max(1, len(shape) - SHAPE + 1)
+        if pieces > 1 or shapes > 1:
+            found = Counter(self._bucket(f"s{shape[i : i + SHAPE]}") for i in range(shapes))
+            self._shapes[chunk], self._long[chunk] = -1, (pieces - 1, found, shapes - 1)
+            self._size += len(found)
+        else:
+            self._shapes[chunk] = self._bucket(f"s{shape}")
+        self._size += 1 + len(self._words[chunk])
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         chunks = text.split()
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0)
-        if len(self._words) > 250_000:
+        if len(self._words) > 250_000 or self._size > LEARNT:
             self._words.clear()
             self._shapes.clear()
-        for chunk in set(chunks).difference(self._words):
+            self._long.clear()
+            self._size = 0
+        own = set(chunks)
+        for chunk in own.difference(self._words):
             self._learn(chunk)
         words = set().union(*map(self._words.__getitem__, chunks))
         shapes = Counter(map(self._shapes.__getitem__, chunks))
+        n = m = len(chunks)
+        if self._long and not self._long.keys().isdisjoint(own):
+            for chunk, times in Counter(c for c in chunks if c in self._long).items():
+                more, found, windows = self._long[chunk]
+                n, m = n + times * more, m + times * windows
+                for b, k in found.items():
+                    shapes[b] += times * k
         again = sum(map(eq, chunks, islice(chunks, 1, None)))
         if again:
             shapes[self._repeat] += again
         shapes.pop(-1, None)
-        n = len(chunks)
         columns = np.fromiter(chain(words, shapes), np.int64, len(words) + len(shapes))
-        return columns, np.fromiter(chain(repeat(n**-0.25, len(words)), (4 * c / n for c in shapes.values())), float, len(columns))
+        return columns, np.fromiter(chain(repeat(n**-0.25, len(words)), (4 * c / m for c in shapes.values())), float, len(columns))
 
 
 @dataclass

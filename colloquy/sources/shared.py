@@ -4,19 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}  # by application, where the session names no folder
+_INSIDE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a fresh folder where it is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
 def fresh(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_INSIDE[-1] if _INSIDE else shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators save inside go to one folder, which is removed at the end: write or count results inside too."""
+    path = fresh(spark, "scratch")
+    _INSIDE.append(path)
+    try:
+        yield path
+    finally:
+        _INSIDE.remove(path)
+        remove(spark, path)

@@ -23,11 +23,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (u long, v long), in any direction, loops and repeats allowed -> (node, component), the least node of each component.
 
     Nodes without an edge to another node are not returned. Null ends are dropped. Every round is an aggregation with
-    map-side combine and a join, so a hub with very many neighbours is never gathered in one task.
+    map-side combine and a join, so a hub with very many neighbours is never gathered in one task. Rounds go on until one
+    changes nothing; their number grows with the logarithm of the nodes. Each round's table replaces the one before.
     """
     now = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = saved(now, "edges")
@@ -35,11 +36,10 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = mark(now)
     if not before["n"]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(rounds):
-        now = saved(_star(_star(now, True), False), "edges")
+    while True:
+        now = saved(_star(_star(now, True), False), "edges", instead_of=now)
         after = mark(now)
         if after == before:
             roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into sequences, by hierarchical residual rounds.
 
 Pieces are packed best-fit-decreasing inside partitions; nearly full bins are done, underfull bins become the items of
-the next round over fewer partitions, until one partition holds what is left or a round no longer helps.
+the next round over fewer partitions. The root of the tree packs all that is left, however much it is: it sees only how
+many items there are of each length, and Spark hands the items their places by number.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import by_batches, saved, texts_of
@@ -91,29 +92,92 @@ def _round(items: DataFrame, partitions: int, capacity: int, number: int) -> Dat
     return dealt.mapInArrow(pack, "_item long, _bin long, _at long, _fill long")
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit-decreasing of counts[size] items of each size, as runs (size, from, to, times, bin, at).
+
+    Items of that size numbered from..to-1 go into bins numbered from `bin` on, `times` to a bin, side by side from
+    place `at`. Bins alike stay together, so the work depends on the number of sizes and not on that of items.
+    """
+    room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # per room left: runs of bins (first, how many)
+    mask, bins, out = 0, 0, []
+
+    def keep(left: int, first: int, n: int) -> None:
+        nonlocal mask
+        if left and n:
+            room[left].append((first, n))
+            mask |= 1 << left
+
+    for size in sorted(counts, reverse=True):
+        at, todo = 0, counts[size]
+        while todo:
+            fits = mask >> size
+            if fits:
+                left = size + (fits & -fits).bit_length() - 1
+                first, n = room[left].pop()
+                if not room[left]:
+                    mask ^= 1 << left
+            else:
+                left, first, n = capacity, bins, -(-todo // (capacity // size))
+                bins += n
+            times = left // size
+            full = min(n, todo // times)
+            rest = todo - full * times if full < n else 0
+            if full:
+                out.append((size, at, at + full * times, times, first, capacity - left))
+                keep(left - times * size, first, full)
+            if rest:
+                out.append((size, at + full * times, at + full * times + rest, rest, first + full, capacity - left))
+                keep(left - rest * size, first + full, 1)
+            used = full + (rest > 0)
+            keep(left, first + used, n - used)
+            at += full * times + rest
+            todo -= full * times + rest
+    return out
+
+
+def _root(items: DataFrame, capacity: int, number: int, spread: int = 256) -> DataFrame:
+    """(_item, _size) -> _item, _bin, _at: all items packed at once, from how many there are of each size.
+
+    At most `capacity` counts come to the driver. Items are numbered within their size by parts, so that a size that most
+    items share is spread over many tasks.
+    """
+    part = F.pmod(F.xxhash64("_item"), F.lit(spread)).alias("_part")
+    items = items.select("_item", F.col("_size").cast("int").alias("_size"), part)
+    sized = saved(items.groupBy("_size", "_part").agg(F.count("*").alias("_n")), "sizes")
+    counts = {r["_size"]: r["n"] for r in sized.groupBy("_size").agg(F.sum("_n").alias("n")).collect()}
+    runs = [(size, a, z, times, (number << 56) + first, at) for size, a, z, times, first, at in best_fit_counts(counts, capacity)]
+    places = items.sparkSession.createDataFrame(runs, "_size int, _from long, _to long, _times long, _first long, _start long")
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = items.join(sized.select("_size", "_part", ahead.alias("_ahead")), ["_size", "_part"])
+    numbered = numbered.withColumn("_k", F.col("_ahead") + F.row_number().over(Window.partitionBy("_size", "_part").orderBy("_item")) - 1)
+    # The runs are bounded by capacity, so they may be broadcast.
+    placed = numbered.join(F.broadcast(places), "_size").where("_k >= _from and _k < _to")
+    k = F.col("_k") - F.col("_from")
+    return placed.select("_item", (F.col("_first") + F.floor(k / F.col("_times"))).alias("_bin"), (F.col("_start") + k % F.col("_times") * F.col("_size")).alias("_at"))
+
+
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, slack: int = 2, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:
     """Pack documents into as few sequences of at most capacity ids as best-fit rounds find.
 
     One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is a document of
-    the end id alone. Repeated rows and null ids are packed as they are. Bins with at most slack ids of room are done
-    at once; others become items of the next round, for which one partition takes ITEMS of them, until a single
-    partition has packed them or a round leaves 98 % of its items apart. Task memory is bounded by ITEMS at any size.
+    the end id alone. Repeated rows and null ids are packed as they are, texts of any length are cut into pieces, other
+    columns take no part, and an empty table gives no rows. In a round one partition takes ITEMS items at most; bins with
+    at most slack ids of room are done, the others are the items of the next round. When one partition would do, or the
+    rounds leave most bins apart, the root packs all that is left. Task memory is bounded by ITEMS at any size.
     """
     cut = saved(pieces(docs, capacity, end_id, id_col, text_col, tokenizer).withColumn("_item", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") == capacity)
-    open_ = cut.where(F.col("length") < capacity)
-    items = open_.select("_item", F.col("length").alias("_size"))
-    left, where = items.count(), None
-    number = 1
-    while left:
-        partitions = max(1, -(-left // ITEMS))
-        placed = saved(_round(items, partitions, capacity, number), "bins")
+    items = cut.where(F.col("length") < capacity).select("_item", F.col("length").alias("_size"))
+    left, where, number = items.count(), None, 1
+    before = 2 * left
+    while left and (number == 1 or left > ITEMS and left < 0.9 * before):
+        placed = saved(_round(items, max(2, -(-left // ITEMS)), capacity, number), "bins")
         where = placed.select("_item", "_bin", "_at") if where is None else _through(where, placed)
         items = placed.where(F.col("_fill") < capacity - slack).groupBy(F.col("_bin").alias("_item")).agg(F.first("_fill").alias("_size"))
-        before, left = left, items.count() if partitions > 1 else 0
-        if left > 0.98 * before:
-            break
+        before, left = left, items.count()
         number += 1
+    if left:
+        where = _through(where, saved(_root(saved(items, "open-bins"), capacity, number), "bins"))
     whole = full.select("_item", F.col("_item").alias("_bin"), F.lit(0).cast("long").alias("_at"))
     spots = whole if where is None else whole.unionByName(where)
     out = cut.join(spots, "_item")

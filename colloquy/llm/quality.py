@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import by_batches, texts_of
+from colloquy.llm.common import Recent, by_batches, texts_of
 
 BUCKETS = 1 << 20
 _FOLD = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1*"), r"\1")]
@@ -29,7 +29,8 @@ EDGE = ".,;:!?\"'()[]{}«»„“”|*#$%&"
 PREFIXES = (4, 5, 6)
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts written without blanks
 LONG, SHAPE = 20, 12  # a longer word, and a longer shape, is read in windows
-LEARNT = 1_000_000  # most features kept ready in a task
+IN_WINDOWS = -2  # the shape of a chunk that counts by its windows
+LEARNT = 600_000  # features learnt in a task between two turns of what it keeps
 
 
 class Features:
@@ -45,10 +46,7 @@ class Features:
 
     def __init__(self, kept: dict[int, int] | None = None):
         self.kept = kept
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._shapes: dict[str, int] = {}
-        self._long: dict[str, tuple[int, Counter, int]] = {}
-        self._size = 0
+        self._words, self._shapes, self._long, self._size = Recent(0), Recent(0), Recent(0), 0  # by chunk; turned together
         self._repeat = self._bucket("r")
 
     def _bucket(self, feature: str) -> int:
@@ -61,7 +59,7 @@ class Features:
         parts = {word, *(word[:n] for n in PREFIXES)} if word else ()
         sizes = (2, 3, *PREFIXES) if unspaced else PREFIXES if len(word) > LONG else ()
         windows = (word[i : i + n] for n in sizes for i in range(len(word) - n + 1))
-        self._words[chunk] = tuple({b for part in chain(parts, windows) if (b := self._bucket(f"w{part}")) >= 0})
+        self._words.now[chunk] = tuple({b for part in chain(parts, windows) if (b := self._bucket(f"w{part}")) >= 0})
         shape = chunk
         for pattern, by in _FOLD:
             shape = pattern.sub(by, shape)
@@ -69,30 +67,33 @@ class Features:
         shapes = max(1, len(shape) - SHAPE + 1)
         if pieces > 1 or shapes > 1:
             found = Counter(self._bucket(f"s{shape[i : i + SHAPE]}") for i in range(shapes))
-            self._shapes[chunk], self._long[chunk] = -1, (pieces - 1, found, shapes - 1)
+            self._shapes.now[chunk], self._long.now[chunk] = IN_WINDOWS, (pieces - 1, found, shapes - 1)
             self._size += len(found)
         else:
-            self._shapes[chunk] = self._bucket(f"s{shape}")
-        self._size += 1 + len(self._words[chunk])
+            self._shapes.now[chunk] = self._bucket(f"s{shape}")
+        self._size += 1 + len(self._words.now[chunk])
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         chunks = text.split()
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0)
-        if len(self._words) > 250_000 or self._size > LEARNT:
-            self._words.clear()
-            self._shapes.clear()
-            self._long.clear()
+        if self._size > LEARNT:
+            self._words.turn()
+            self._shapes.turn()
+            self._long.turn()
             self._size = 0
         own = set(chunks)
-        for chunk in own.difference(self._words):
+        for chunk in self._words.unknown(own):
             self._learn(chunk)
-        words = set().union(*map(self._words.__getitem__, chunks))
-        shapes = Counter(map(self._shapes.__getitem__, chunks))
+        self._shapes.unknown(own)
+        words = set().union(*map(self._words.now.__getitem__, own))
+        shapes = Counter(map(self._shapes.now.__getitem__, chunks))
         n = m = len(chunks)
-        if self._long and not self._long.keys().isdisjoint(own):
-            for chunk, times in Counter(c for c in chunks if c in self._long).items():
-                more, found, windows = self._long[chunk]
+        if shapes.pop(IN_WINDOWS, 0):
+            times_of = Counter(c for c in chunks if self._shapes.now[c] == IN_WINDOWS)
+            self._long.unknown(set(times_of))
+            for chunk, times in times_of.items():
+                more, found, windows = self._long.now[chunk]
                 n, m = n + times * more, m + times * windows
                 for b, k in found.items():
                     shapes[b] += times * k
@@ -114,13 +115,13 @@ class Sample:
     grades: np.ndarray
 
 
-def informative(sample: Sample, z: float = 3.5, least: int = 8) -> np.ndarray:
-    """Buckets that occur in at least `least` rows and whose rows' mean grade is z standard errors off the mean."""
+def informative(sample: Sample, z: float = 3.5, doubt: float = 4.0) -> np.ndarray:
+    """Buckets whose rows' mean grade is z standard errors off the mean, `doubt` rows of the mean grade being added to each."""
     grades = sample.grades
     n = np.bincount(sample.columns, minlength=BUCKETS)
     total = np.bincount(sample.columns, weights=np.repeat(grades.astype(np.float32), sample.sizes), minlength=BUCKETS)
     mean, sd = (grades.mean(), max(grades.std(), 1e-9)) if len(grades) else (0.0, 1.0)
-    return np.nonzero((n >= least) & (np.abs(total - n * mean) >= z * sd * np.sqrt(np.maximum(n, 1))))[0]
+    return np.nonzero(np.abs(total - n * mean) >= z * sd * np.sqrt(n + doubt))[0]
 
 
 @dataclass
@@ -191,12 +192,13 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "
     """Features and grades of at most `rows` rated documents, those with the least hash of their id: one row an id.
 
     ratings: (id_col, grade). Null ids and grades are left out; of several grades of one id the lowest counts. Only the
-    sampled documents' features come to the driver, so what comes is bounded by rows.
+    sampled documents' features come to the driver, so what comes is bounded by rows. Where an id has several texts, the
+    least of them counts.
     """
     graded = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
     known = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     chosen = graded.join(known, id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = _lengthless(docs, id_col, text_col).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id").dropDuplicates(["_id"])
+    texts = _lengthless(docs, id_col, text_col).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id").groupBy("_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def make():
         of = Features().of
@@ -227,8 +229,10 @@ def train_quality(docs: DataFrame, ratings: DataFrame, rows: int = 8_000, id_col
 def rate_quality(docs: DataFrame, model: OrdinalModel, least: float = 1.5, text_col: str = "text") -> DataFrame:
     """docs' rows with _score, _expected (grade), _tails (P(grade > k) for every k) and _kept appended.
 
-    A row is kept if its expected grade is at least `least`. Null, empty and blank texts have no features and get the
-    thresholds' grade; every row is rated by itself, so repeats and ties don't matter, and an empty table stays empty.
+    A row is kept if its expected grade is at least `least`. Null, empty and blank texts have nothing to read: whatever
+    the model, they get the lowest grade, tails of 0 and a score of minus infinity. Every row is rated by itself, so
+    repeats and ties don't matter; whole texts of any length are read; other columns, whatever their names, are carried
+    along; an empty table stays empty.
     """
     cols = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text")]
     schema = f"_row {docs.schema.simpleString()}, _score double, _expected double, _tails array<double>, _kept boolean"
@@ -237,8 +241,10 @@ def rate_quality(docs: DataFrame, model: OrdinalModel, least: float = 1.5, text_
         score = model.scorer()
 
         def step(batch: pa.RecordBatch) -> dict:
-            scores = np.array([score(t) for t in texts_of(batch.column(1))])
-            tails = model.tails(scores)
+            texts = texts_of(batch.column(1))
+            blank = np.array([not t or t.isspace() for t in texts])
+            scores = np.where(blank, -np.inf, [score(t) for t in texts])
+            tails = np.where(blank[:, None], 0.0, model.tails(scores))
             expected = tails.sum(axis=1)
             return {"_row": batch.column(0), "_score": (scores, pa.float64()), "_expected": (expected, pa.float64()), "_tails": (list(tails), pa.list_(pa.float64())), "_kept": (expected >= least, pa.bool_())}
 

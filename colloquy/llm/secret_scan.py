@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("pass", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+SHORTEST = 20  # characters of a token that the tests are given: below that they can't tell keys from words
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 ORDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 ENCODINGS = (  # name, alphabet; the first that holds a token is its encoding
     ("hex", "0123456789abcdef"),
@@ -35,7 +38,7 @@ ENCODINGS = (  # name, alphabet; the first that holds a token is its encoding
     ("base64", ORDER),
     ("base64url", ORDER[:62] + "-_"),
 )
-CLASSES = (20, 32, 48, 96)  # least length of each length class
+CLASSES = (SHORTEST, 32, 48, 96)  # least length of each length class
 EDGES = (0.0, 1e-6, 1e-4, 1e-3, 1e-2, *(x / 20 for x in range(1, 20)))  # bins of p
 _TABLES = []
 for _name, _alphabet in ENCODINGS:
@@ -75,7 +78,7 @@ def battery(token: str) -> tuple[int, float] | None:
     else:
         return None
     n, k = len(x), len(ENCODINGS[e][1])
-    cells = 16 if n >= 80 else 8 if n >= 40 else 4
+    cells = min(k, 31, max(4, n // 3))  # three characters a cell and more keep the chi-squared tail right
     wide = np.bincount(np.arange(k) * cells // k, minlength=cells) * (n / k)
     seen = np.bincount(x * cells // k, minlength=cells)
     p1 = _chi_tail(float(((seen - wide) ** 2 / wide).sum()), cells - 1)
@@ -125,19 +128,20 @@ def p_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return once.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, least: int = 30) -> dict[int, float]:
+def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, prior: float = 30) -> dict[int, float]:
     """For each stratum the smallest p to take so that the estimated false-discovery rate is at most rate.
 
-    Random tokens have uniform p, so twice those above a half estimates their number. A stratum of fewer than least
-    tokens uses the counts of all lengths of its encoding.
+    Random tokens have uniform p, so twice those above a half estimates their number. Each length class is shrunk towards
+    its encoding's tokens of all lengths, which count as `prior` tokens more.
     """
     count = np.zeros((len(ENCODINGS), len(CLASSES), len(EDGES)))
     for stratum, b, n in histogram:
         count[stratum // len(CLASSES), stratum % len(CLASSES), b] = n
     half, out = EDGES.index(0.5), {}
     for e in range(len(ENCODINGS)):
+        pooled = count[e].sum(axis=0)
         for c in range(len(CLASSES)):
-            own = count[e, c] if count[e, c].sum() >= least else count[e].sum(axis=0)
+            own = count[e, c] + prior * pooled / max(pooled.sum(), 1)
             random = min(2 * own[half:].sum(), own.sum())
             for j in range(1, len(EDGES)):
                 taken = own[j:].sum()
@@ -150,7 +154,12 @@ def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, least:
 def all_spans(text: str, least: dict[int, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, base and added spans) as (start, kind, end). A token inside a base span isn't added again."""
     base = base_spans(text)
-    more = [(s, 3, e) for s, e, stratum, p in tokens(text) if p >= least.get(stratum, 2.0) and not any(a <= s and e <= b for a, _, b in base)]
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    more = []
+    for s, e, stratum, p in tokens(text):
+        before = bisect_right(starts, s)  # a base span holds the token if one that starts no later reaches its end
+        if p >= least.get(stratum, 2.0) and not (before and reach[before - 1] >= e):
+            more.append((s, 3, e))
     return base, sorted(base + more)
 
 
@@ -167,7 +176,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row's secrets: id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end", comma-joined, code points).
 
     Null counts as empty: counts of 0 and empty spans. Repeated rows and null ids give rows as they come, an empty table
-    none; other columns take no part. Spans are ordered by start, then kind, then end.
+    none; other columns take no part and texts may be of any length. Spans are ordered by start, then kind, then end.
+    The battery is given runs of SHORTEST characters or more of A-Z a-z 0-9 + / _ - that hold a letter and a digit: what
+    is shorter, or of letters or digits alone, is a secret only if a base pattern says so.
     """
     least = learn_thresholds(docs, text_col, rate)
 

@@ -18,10 +18,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import saved
+from colloquy.llm.common import saved, spread_join
 from colloquy.llm.components import connected_components
 
-LINES, BLOCK, TILE = 24, 1024, 256
+LINES, BLOCK, TILE = 24, 4096, 256
 
 
 def calibrated(cosine: float, lines: int = LINES, recall: float = 0.999, width: float = 1.5) -> tuple[float, float, int]:
@@ -40,17 +40,22 @@ def lines_for(dim: int, lines: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, lines))
 
 
-def block_links(x: np.ndarray, values: np.ndarray, side: np.ndarray, cosine: float, window: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def block_links(x: np.ndarray, values: np.ndarray, side: np.ndarray, cosine: float, sweep: float, window: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (rows of x) between side 0 and side 1, or within side 0 if there is no other."""
     a = np.nonzero(side == 0)[0]
     b = np.nonzero(side == 1)[0]
     within = not len(b)
     b = a if within else b
+    x = x / np.abs(x).max(axis=1)[:, None]
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     v = values.astype(np.float32).T.copy()
     left, right = [], []
+    a, b = a[np.argsort(v[0][a], kind="stable")], b[np.argsort(v[0][b], kind="stable")]
+    at, wide = v[0][b], np.float32(sweep)
     for i in range(0, len(a), TILE):
-        for j in range(i if within else 0, len(b), TILE):
+        # Both sides are sorted on the first line: only tiles that its sweep window reaches are counted.
+        low, high = np.searchsorted(at, [v[0][a[i]] - wide, v[0][a[min(i + TILE, len(a)) - 1]] + wide])
+        for j in range(i if within else low // TILE * TILE, high, TILE):
             p, q = a[i : i + TILE], b[j : j + TILE]
             count = np.zeros((len(p), len(q)), np.int8)
             for line in v:
@@ -79,8 +84,8 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def embedding_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", lines: int = LINES, recall: float = 0.999) -> DataFrame:
-    """(id, n, root) for vectors with links: links found in a pair of blocks, and the least id they reach there."""
+def embedding_links(vectors: DataFrame, cosine: float = 0.93, lines: int = LINES, recall: float = 0.999) -> DataFrame:
+    """(id, n, root) for vectors (id, grp, vec) with links: links found in a pair of blocks, and the least id they reach there."""
     sweep, window, least = calibrated(cosine, lines, recall)
     usable = vectors.where("id is not null and grp is not null and vec is not null and size(vec) > 0").where(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))).where(F.exists("vec", lambda v: v != 0))
 
@@ -124,9 +129,9 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
         side = table.column("side").to_numpy()
         # A block meets a later block of its own cell elsewhere than itself: without a second side it meets itself.
         if table.column("kind")[0].as_py() == "own" and table.column("p")[0] != table.column("q")[0] or table.column("kind")[0].as_py() == "next":
-            found = block_links(matrix("vec"), matrix("at"), side, cosine, window, least) if (side == 1).any() and (side == 0).any() else (np.zeros(0, np.int64),) * 2
+            found = block_links(matrix("vec"), matrix("at"), side, cosine, sweep, window, least) if (side == 1).any() and (side == 0).any() else (np.zeros(0, np.int64),) * 2
         else:
-            found = block_links(matrix("vec"), matrix("at"), np.zeros(n, np.int64), cosine, window, least)
+            found = block_links(matrix("vec"), matrix("at"), np.zeros(n, np.int64), cosine, sweep, window, least)
         links = np.bincount(found[0], minlength=n) + np.bincount(found[1], minlength=n)
         rows = np.nonzero(links)[0]
         ids = table.column("id").to_numpy()
@@ -136,21 +141,26 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label") -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept.
+    """One row per row of vectors: id, n_links, component_id, kept.
 
     Vectors of one group (null: none) and dimension are linked if their cosine in double precision is at least the
     limit. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
-    component. Rows that repeat an id are one vector, the least of them by (group, vector); a null id links with
-    nothing and is returned with a null component, not kept. An empty table gives an empty result.
+    component. Rows equal in id, group and vector are one vector and get equal rows; different vectors under one id are
+    vectors of their own, which may link with each other and differ in links and component. A null id links with nothing and is returned with a null component, not
+    kept. Vectors may be of any length and size of components; other columns, whatever their names, take no part. An
+    empty table gives an empty result.
     """
-    named = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[group_col].alias("grp"), vectors[vec_col].cast("array<double>").alias("vec"))
-    one = named.where("id is not null").groupBy("id").agg(F.min(F.struct("grp", "vec")).alias("v")).select("id", "v.grp", "v.vec")
-    one = saved(one, "vectors")
-    found = saved(embedding_links(one, cosine), "vector-links")
+    named = vectors.select(vectors[id_col].cast("long").alias("own"), vectors[group_col].alias("grp"), vectors[vec_col].cast("array<double>").alias("vec"))
+    named = named.groupBy("own", "grp", "vec").agg(F.count("*").alias("copies"))
+    named = saved(named.withColumn("id", F.when(F.col("own").isNotNull(), F.monotonically_increasing_id())), "vectors")
+    found = saved(embedding_links(named.select("id", "grp", "vec"), cosine), "vector-links")
     links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
-    parts = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    out = one.select("id").join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = out.withColumn("kept", F.col("id") == F.col("component_id"))
-    lost = named.where("id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(False).alias("kept"))
-    return out.unionByName(lost).withColumnRenamed("id", id_col)
+    parts = saved(connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))), "vector-parts")
+    own = named.where("id is not null").select("id", "own", "copies").join(parts, F.col("id") == F.col("node"), "left").select("id", "own", "copies", F.coalesce("component", "id").alias("component"))
+    own = saved(own, "vector-components")
+    least = saved(own.groupBy("component").agg(F.min("own").alias("component_id"), F.count("*").alias("rows")), "component-ids")
+    out = spread_join(own, least, ["component"], "id", "rows").join(links, "id", "left")
+    out = out.select("own", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("own") == F.col("component_id")).alias("kept"), "copies")
+    lost = named.where("own is null").select("own", F.lit(0).cast("long").alias("n_links"), F.col("own").alias("component_id"), F.lit(False).alias("kept"), "copies")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return out.unionByName(lost).select(F.col("own").alias(id_col), "n_links", "component_id", "kept", each).drop("copy")

@@ -23,7 +23,7 @@ UNCHECKED = re.compile("[^\x20-\x7e\t\n\r¡¿«»À-ɏ–—‘’“”…€]"
 CUT = re.compile(r" (?=\S)")
 BARE_SPACE = re.compile(r" [ \t\n\r]|[ ]\Z")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED, LONGEST = 300_000, 1_000
+CACHED, LONGEST = 200_000, 1_000
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -71,8 +71,7 @@ class ByteEncoder:
             if UNCHECKED.search(text):
                 return self._slow(text)
         chunks = CUT.split(text) if BARE_SPACE.search(text) else text.split(" ")
-        if len(self._chunks) > CACHED:
-            self._chunks.clear()
+        self._chunks.turn()
         return self._first(chunks[0]) + b"".join(map(self._chunks.__getitem__, chunks[1:]))
 
     def _slow(self, text: str) -> bytes:
@@ -86,15 +85,22 @@ class ByteEncoder:
 
 
 class _Chunks(dict):
+    """Chunks' ids, made when first asked for; two generations, as Recent."""
+
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.encode(chunk)
+        found = self.old.get(chunk) or self.encode(chunk)
         if len(chunk) < 48:
             self[chunk] = found
         return found
 
+    def turn(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
 
 @lru_cache(maxsize=2)
 def encoder(name_or_path: str) -> ByteEncoder:
@@ -112,32 +118,37 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = BY
     return by_batches(docs.select(F.col(text_col).alias("text")), make, "n_tokens long")
 
 
-def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str = BYTE_BPE, block: int = 4096) -> DataFrame:
+def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str = BYTE_BPE, block: int = 64) -> DataFrame:
     """Exact histogram of encoded lengths with suffix sums: one row for every length that occurs.
 
     n_tokens, n_docs (documents of just this length), docs_at_least, tokens_at_least (documents this long or longer and
     their tokens), truncated_tokens (corpus total if every document is cut to n_tokens), share_at_most (the quantile
     that n_tokens is). Between two listed lengths every limit L has truncated total
     truncated_tokens(next) - (next - L) * docs_at_least(next), so the table answers every context limit.
-    Null texts are empty documents of length 0, repeated rows count each, an empty table gives no rows.
-    Documents are aggregated by length before any window; the suffix sums run in blocks of lengths, with the sums of
-    whole blocks added, so no task reads more than one block of lengths or the list of blocks.
+    Null texts are empty documents of length 0, repeated rows count each, whole texts of any length are encoded, other
+    columns take no part, an empty table gives no rows.
+    Documents are aggregated by length before any window. Suffix sums follow the digits of the length to the base `block`:
+    each level adds what lies above within its group of at most `block` members, so no window holds more than that many rows,
+    however many lengths there are.
     """
     counts = saved(encoded_lengths(docs, text_col, tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
-    counts = counts.withColumns({"_block": F.floor(F.col("n_tokens") / block), "_tokens": F.col("n_tokens") * F.col("n_docs")})
-    after = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_d").over(after), F.lit(0)).alias("_d"), F.coalesce(F.sum("_t").over(after), F.lit(0)).alias("_t"), F.sum("_d").over(whole).alias("_docs"), F.sum("_t").over(whole).alias("_total"))
-    here = Window.partitionBy("_block").orderBy(F.col("n_tokens").desc())
-    out = counts.join(blocks, "_block").withColumns({"docs_at_least": F.sum("n_docs").over(here) + F.col("_d"), "tokens_at_least": F.sum("_tokens").over(here) + F.col("_t")})
+    longest, n_docs, n_tokens = counts.agg(F.max("n_tokens"), F.sum("n_docs"), F.sum(F.col("n_tokens") * F.col("n_docs"))).first()
+    out = counts.withColumns({"docs_at_least": F.col("n_docs"), "tokens_at_least": F.col("n_tokens") * F.col("n_docs")})
+    level, width = out.select(F.col("n_tokens").alias("_at"), F.col("docs_at_least").alias("_d"), F.col("tokens_at_least").alias("_t")), 1
+    while width <= (longest or 0):
+        above = Window.partitionBy(F.floor(F.col("_at") / block)).orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        more = level.select(F.col("_at").alias("_own"), *[F.coalesce(F.sum(x).over(above), F.lit(0)).alias(f"{x}_more") for x in ("_d", "_t")])
+        out = out.withColumn("_own", F.floor(F.col("n_tokens") / width)).join(more, "_own")
+        out = out.withColumns({"docs_at_least": F.col("docs_at_least") + F.col("_d_more"), "tokens_at_least": F.col("tokens_at_least") + F.col("_t_more")}).select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least")
+        level = level.groupBy(F.floor(F.col("_at") / block).alias("_at")).agg(F.sum("_d").alias("_d"), F.sum("_t").alias("_t"))
+        width *= block
     return out.select(
         "n_tokens",
         "n_docs",
         "docs_at_least",
         "tokens_at_least",
-        (F.col("_total") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_tokens"),
-        F.round((F.col("_docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("_docs"), 9).alias("share_at_most"),
+        (F.lit(n_tokens or 0) - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_tokens"),
+        F.round((F.lit(n_docs or 0) - F.col("docs_at_least") + F.col("n_docs")) / F.lit(n_docs or 0), 9).alias("share_at_most"),
     )
 
 

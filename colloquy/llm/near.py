@@ -13,18 +13,18 @@ are unverified.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import by_batches, row_key, saved, texts_of
+from colloquy.llm.common import Recent, by_batches, saved, spread_join, texts_of
 from colloquy.llm.components import connected_components
 
-SHINGLE, BANDS, BAND_ROWS, BLOCK = 5, 24, 5, 256
+SHINGLE, BANDS, BAND_ROWS = 5, 24, 5
+BLOCK, BLOCK_WORDS = 256, 400_000
+BUCKET = ["band", "hash"]
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,17 +40,16 @@ class Shingler:
 
     def __init__(self, size: int = SHINGLE):
         self.size = size
-        self._known: dict[str, int] = {}
+        self._known = Recent(200_000)
         self._factors = _mix(np.arange(1, size + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 
     def of(self, words: list[str]) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        if len(self._known) > 300_000:
-            self._known.clear()
-        for w in set(words).difference(self._known):
-            self._known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(self._known.__getitem__, words), np.uint64, len(words))
+        self._known.turn()
+        for w in self._known.unknown(set(words)):
+            self._known.now[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = np.fromiter(map(self._known.now.__getitem__, words), np.uint64, len(words))
         k = min(self.size, len(h))
         if not k:
             return h
@@ -111,24 +110,29 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(_id, _node) -> _id, _node, _words (hash of the words in order), bands; no bands without words."""
+    """docs, which has _text, with _words (hash of the words in order), _size (words) and bands; no bands without words."""
+    columns = docs.columns
 
     def make():
         from xxhash import xxh3_128_digest
 
         shingler = Shingler(shingle)
+        text_at = columns.index("_text")
 
         def step(batch: pa.RecordBatch) -> dict:
-            keys, hashes = [], []
-            for text in texts_of(batch.column(2)):
+            keys, sizes, hashes = [], [], []
+            for text in texts_of(batch.column(text_at)):
                 words = text.lower().split()
                 keys.append(xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+                sizes.append(len(words))
                 hashes.append(band_hashes(bag_minhash(shingler.of(words), bands * rows), bands, rows) if words else [])
-            return {"_id": batch.column(0), "_node": batch.column(1), "_words": (keys, pa.binary()), "bands": (hashes, pa.list_(pa.int64()))}
+            own = dict(zip(columns, batch.columns, strict=True))
+            return own | {"_words": (keys, pa.binary()), "_size": (sizes, pa.int64()), "bands": (hashes, pa.list_(pa.int64()))}
 
         return step
 
-    return by_batches(docs.select("_id", "_node", "_text"), make, "_id long, _node long, _words binary, bands array<long>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return by_batches(docs, make, f"{schema}, _words binary, _size long, bands array<long>")
 
 
 def verify(items: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -175,83 +179,84 @@ def verify(items: DataFrame, texts: DataFrame, least: float, shingle: int) -> Da
 
 
 def _dealt(held: DataFrame, asking: DataFrame) -> DataFrame:
-    """(hub, node, part) held and asking -> items in blocks of held and chunks of asking nodes, each block meeting each chunk."""
-    parts = lambda df, name: df.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = parts(held, "blocks").join(parts(asking, "chunks"), "hub")
+    """(hub, node, part, size) held and asking -> items in blocks of held and chunks of asking nodes, each block meeting each chunk.
+
+    A block or chunk has about BLOCK nodes and BLOCK_WORDS words at most, unless a single text has more.
+    """
+    many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_WORDS)).cast("int")
+    parts = lambda df, name: df.groupBy("hub").agg(many.alias(name), F.count("*").alias(f"{name}_rows"))
+    sizes = saved(parts(held, "blocks").join(parts(asking, "chunks"), "hub"), "block-sizes")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    a = held.join(sizes, "hub").select("hub", mine("blocks").alias("block"), all_of("chunks").alias("chunk"), "node", "part", F.lit(False).alias("asks"))
-    b = asking.join(sizes, "hub").select("hub", all_of("blocks").alias("block"), mine("chunks").alias("chunk"), "node", "part", F.lit(True).alias("asks"))
+    a = spread_join(held, sizes, ["hub"], "node", "blocks_rows").select("hub", mine("blocks").alias("block"), all_of("chunks").alias("chunk"), "node", "part", F.lit(False).alias("asks"))
+    b = spread_join(asking, sizes, ["hub"], "node", "chunks_rows").select("hub", all_of("blocks").alias("block"), mine("chunks").alias("chunk"), "node", "part", F.lit(True).alias("asks"))
     return a.unionByName(b)
 
 
 def near_components(reps: DataFrame, texts_of_nodes: DataFrame, least: float, shingle: int) -> DataFrame:
-    """(node, component) of the representatives (node, bands) that have a near copy; texts_of_nodes: (node, _text).
+    """(node, component) of the representatives (node, size, bands) that have a near copy; texts_of_nodes: (node, _text).
 
     Three steps settle every pair that shares a bucket. Each document meets its bucket's first one. Then the largest
     component of a bucket meets the bucket's other documents, and is done there. What is left of a bucket in more than
-    one component meets itself in blocks.
+    one component meets itself in blocks. Buckets and hubs with very many documents are dealt over many tasks.
     """
-    spread = reps.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
+    spread = reps.select("node", "size", F.posexplode("bands").alias("band", "hash"))
+    buckets = saved(spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "buckets")
     # Rows of buckets of two documents or more.
-    shared = saved(spread.join(buckets, ["band", "hash"]).select("band", "hash", "node", "first"), "buckets")
-    members = shared.select("node").distinct()
-    texts = saved(texts_of_nodes.join(members, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
-    own = F.col("node").alias("part")
-    pairs = shared.where("node != first").select(F.col("first").alias("hub"), "node", own).distinct()
-    hubs = pairs.select("hub", F.col("hub").alias("node"), F.col("hub").alias("part")).distinct()
-    links = saved(verify(_dealt(pairs, hubs), texts, least, shingle), "links")
+    shared = saved(spread_join(spread, buckets, BUCKET, "node", "n").select(*BUCKET, "node", "size", "first"), "bucket-rows")
+    members = saved(shared.select("node", "size").distinct(), "members")
+    texts = saved(texts_of_nodes.join(members.select("node"), "node", "left_semi"), "candidate-texts")
+    pairs = shared.where("node != first").select(F.col("first").alias("hub"), "node", F.col("node").alias("part"), "size").distinct()
+    hubs = pairs.select(F.col("hub").alias("node")).distinct().join(members, "node").select(F.col("node").alias("hub"), "node", F.col("node").alias("part"), "size")
+    links = saved(verify(_dealt(saved(pairs, "pairs"), hubs), texts, least, shingle), "links")
 
     parts = saved(connected_components(links), "components")
-    now, ranked = _parts_of_buckets(shared, parts)
-    pivot = ranked.where("r = 1").select("band", "hash", F.col("part").alias("hub"))
-    asking = ranked.where("r > 1").join(pivot, ["band", "hash"]).join(now, ["band", "hash", "part"]).select("hub", "node", "part").distinct()
-    asking = saved(asking, "asking")
-    held = members.join(parts, "node", "left").select(F.coalesce("component", "node").alias("hub"), "node", F.coalesce("component", "node").alias("part"))
-    held = held.join(asking.select("hub").distinct(), "hub", "left_semi")
-    links = saved(links.unionByName(verify(_dealt(held, asking), texts, least, shingle)), "links")
-
-    rest = now.join(ranked.where("r > 1"), ["band", "hash", "part"]).select("band", "hash", "node")
-    parts = saved(connected_components(links), "components")
-    now, ranked = _parts_of_buckets(rest, parts)
-    left = now.join(ranked, ["band", "hash", "part"]).select(F.xxhash64("band", "hash").alias("hub"), "node", "part")
-    left = saved(left, "unsettled")
+    asking = saved(_beside_the_largest(shared, parts), "asking")
+    own = F.coalesce("component", "node")
+    held = members.join(parts, "node", "left").select(own.alias("hub"), "node", own.alias("part"), "size")
+    more = verify(_dealt(held, asking.select(F.col("largest").alias("hub"), "node", "part", "size").distinct()), texts, least, shingle)
+    links = saved(links.unionByName(more), "links", instead_of=links)
+
+    parts = saved(connected_components(links), "components", instead_of=parts)
+    apart = _beside_the_largest(asking, parts, whole=True)
+    left = saved(apart.select(F.xxhash64(*BUCKET).alias("hub"), "node", "part", "size"), "unsettled", instead_of=asking)
     return connected_components(links.unionByName(verify(_dealt(left, left), texts, least, shingle)))
 
 
-def _parts_of_buckets(rows: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bucket rows with their component so far, and the components of each bucket that has several, ranked by size."""
-    now = saved(rows.join(parts, "node", "left").select("band", "hash", "node", F.coalesce("component", "node").alias("part")), "bucket-parts")
-    bucket = Window.partitionBy("band", "hash")
-    sized = now.groupBy("band", "hash", "part").agg(F.count("*").alias("n"))
-    ranked = sized.select("band", "hash", "part", F.row_number().over(bucket.orderBy(F.col("n").desc(), "part")).alias("r"), F.count("*").over(bucket).alias("k"))
-    return now, saved(ranked.where("k > 1").drop("k"), "ranks")
+def _beside_the_largest(rows: DataFrame, parts: DataFrame, whole: bool = False) -> DataFrame:
+    """Of the bucket rows those outside their bucket's largest component (or all), where a bucket has several components."""
+    now = saved(rows.join(parts, "node", "left").select(*BUCKET, "node", "size", F.coalesce("component", "node").alias("part")), "bucket-parts")
+    sized = now.groupBy(*BUCKET, "part").agg(F.count("*").alias("n"))
+    top = sized.groupBy(*BUCKET).agg((-F.max(F.struct("n", -F.col("part")))["col2"]).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").drop("k")
+    found = spread_join(now, saved(top, "largest"), BUCKET, "node", "n").drop("n")
+    return found if whole else found.where("part != largest")
 
 
-def near_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: id, class_id, kept, _node.
+def near_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep_row: bool = False) -> DataFrame:
+    """One row per input row: id, class_id, kept (and _row, the input row, with keep_row).
 
     Documents whose multisets of shingles (five words in lower case, cut at white space) have a weighted Jaccard
     similarity of at least `least` are linked, and a class is a connected component of links; equal word sequences are
-    one class from the start. class_id is the least id of the class, kept is true for that id. Null counts as empty;
-    texts without words form one class, since their word sequences are equal, and link to nothing else. A null id is
-    replaced by a negative key made of the text (_node), rows that repeat an id are one document.
+    one class from the start. class_id is the least id of the class, null if the class has null ids alone, and kept is
+    true for one row of each class, one with that id. Null counts as empty; texts without words form one class, since
+    their word sequences are equal, and link to nothing else. Rows are told apart by their texts, not by their ids:
+    different texts under one id are different documents. Whole texts of any length take part, other columns don't,
+    whatever their names. An empty table gives an empty result.
     """
-    keyed = docs.select(docs[id_col].cast("long").alias("_id"), row_key(id_col, text_col).alias("_node"), docs[text_col].alias("_text"))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")] if keep_row else []
+    keyed = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), *row).withColumn("_n", F.monotonically_increasing_id())
     signed = saved(signatures(keyed, shingle), "signatures")
-    reps = signed.groupBy("_words").agg(F.min("_node").alias("node"), F.first("bands").alias("bands"))
+    best = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_n").alias("n")))
+    reps = signed.groupBy("_words").agg(F.min("_n").alias("node"), F.first("_size").alias("size"), F.first("bands").alias("bands"), best.alias("best"), F.count("*").alias("rows"))
     reps = saved(reps, "representatives")
-    parts = near_components(reps.select("node", "bands"), keyed.select(F.col("_node").alias("node"), "_text"), least, shingle)
-    classes = reps.select("_words", "node").join(parts, "node", "left").select("_words", F.coalesce("component", "node").alias("class_id"))
-    out = signed.select("_id", "_node", "_words").join(classes, "_words")
-    return out.select(F.col("_id").alias(id_col), "class_id", (F.col("_node") == F.col("class_id")).alias("kept"), "_node")
+    parts = saved(near_components(reps.select("node", "size", "bands"), signed.select(F.col("_n").alias("node"), "_text"), least, shingle), "classes")
+    known = saved(reps.select("_words", "node", "best", "rows").join(parts, "node", "left").withColumn("top", F.coalesce("component", "node")), "tops")
+    tops = saved(known.groupBy("top").agg(F.min("best").alias("best"), F.count("*").alias("n")), "class-ids")
+    words = spread_join(known.select("_words", "rows", "top", "node"), tops, ["top"], "node", "n").select("_words", "rows", "best")
+    out = spread_join(signed.select("_n", "_id", "_words", *(["_row"] if keep_row else [])), saved(words, "class-words"), ["_words"], "_n", "rows")
+    return out.select(F.col("_id").alias(id_col), F.col("best.id").alias("class_id"), (F.col("_n") == F.col("best.n")).alias("kept"), *(["_row"] if keep_row else []))
 
 
 def without_near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate class, whole: the row with the class's least id."""
-    keep = near_dedup(docs, least, id_col, text_col).where("kept").select("_node").distinct()
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    keyed = plain.withColumn("_node", row_key(names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]))
-    return keyed.join(keep, "_node", "left_semi").dropDuplicates(["_node"]).select(*names).toDF(*docs.columns)
+    return near_dedup(docs, least, id_col, text_col, keep_row=True).where("kept").select("_row.*")

@@ -47,7 +47,7 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("_node")
+    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,16 +84,20 @@ def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:
         b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h0, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') AS path FROM a),
         marks AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-        parts AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS y, string_split(host, '.') AS x,
-                         array_to_string(x[-2:], '.') AS two FROM b LEFT JOIN marks USING (page_id) GROUP BY host),
-        hosts AS (SELECT host, n, y, CASE WHEN two IN ({long}) THEN array_to_string(x[-3:], '.') ELSE two END AS domain,
-                         CASE WHEN two IN ({long}) THEN two ELSE x[-1] END AS suffix FROM parts),
+        parts AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS y,
+                         regexp_replace(regexp_replace(host, '^.*@', ''), '[.]?(:[0-9]*)?$', '') AS bare, string_split(bare, '.') AS x,
+                         array_to_string(x[-2:], '.') AS two, regexp_full_match(bare, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') OR starts_with(bare, '[') AS ip
+                  FROM b LEFT JOIN marks USING (page_id) GROUP BY host),
+        hosts AS (SELECT host, n, y, CASE WHEN ip THEN bare WHEN two IN ({long}) THEN array_to_string(x[-3:], '.') ELSE two END AS domain,
+                         CASE WHEN ip THEN 'ip' WHEN two IN ({long}) THEN two ELSE x[-1] END AS suffix FROM parts),
         domains AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM hosts GROUP BY ALL),
         suffixes AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM domains GROUP BY ALL),
         k AS (SELECT {strength("hosts")} AS kh, {strength("domains")} AS kd, {strength("suffixes")} AS ks, (SELECT (sum(y) + 1) / (sum(n) + 2) FROM suffixes) AS m),
         s2 AS (SELECT suffix, (y + m * ks) / (n + ks) AS ms FROM suffixes, k),
         d2 AS (SELECT domain, (y + ms * kd) / (n + kd) AS md FROM domains JOIN s2 USING (suffix), k),
-        h2 AS (SELECT host, (y + md * kh) / (n + kh) AS mh, mh - {z}e0 * sqrt(mh * (1 - mh) / (n + kh + 1)) AS lower FROM hosts JOIN d2 USING (domain), k),
+        h1 AS (SELECT host, y + md * kh AS ba, n - y + (1 - md) * kh AS bb, 1 - 1 / (9 * bb) AS bp, 1 - 1 / (9 * ba) AS bq,
+                      {z}e0 * {z}e0 / (9 * bb) AS bu, {z}e0 * {z}e0 / (9 * ba) AS bv FROM hosts JOIN d2 USING (domain), k),
+        h2 AS (SELECT host, ba * pow(greatest(0, (bp * bq - sqrt(greatest(0, bp * bp * bq * bq - (bp * bp - bu) * (bq * bq - bv)))) / (bp * bp - bu)), 3) AS f, f / (bb + f) AS lower FROM h1),
         rules AS ({rules}),
         best AS (SELECT page_id, arg_max(r, length(r)) AS rule, arg_max(v, length(r)) AS v
                  FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = "[0-9A-Za-z_]"
+#: Weights of the personal number's first eleven digits.
+MYNUMBER_WEIGHTS = (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 
 
 @F.pandas_udf(T.StringType())
@@ -64,7 +66,7 @@ def mod97_ok(iban: Column) -> Column:
 def mynumber_ok(number: Column) -> Column:
     """Twelve digits of which the last checks the weighted sum of the others."""
     parts = F.transform(F.filter(F.split(number, ""), lambda c: c != ""), lambda c: c.cast("int"))
-    weights = F.array(*[F.lit(w) for w in (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)])
+    weights = F.array(*[F.lit(w) for w in MYNUMBER_WEIGHTS])
     total = F.aggregate(F.zip_with(F.slice(parts, 1, 11), weights, lambda d, w: d * w), F.lit(0), lambda s, x: s + x)
     check = 11 - total % 11
     return F.get(parts, 11) == F.when(check >= 10, 0).otherwise(check)

@@ -25,7 +25,7 @@ def validate(messages: DataFrame, longest_id: int = 128, longest: int = 65_536)
         F.when(size("value") > longest, "too long")
         .when(~size("meeting_id").between(1, longest_id), "meeting id")
         .when(~size("speaker_id").between(1, longest_id), "speaker id")
-        .when(F.col("meeting_id") != F.col("room"), "other meeting")
+        .when(~F.col("meeting_id").eqNullSafe(F.col("room")), "other meeting")
     )
     return messages.withColumn("reason", reason)
 
@@ -37,7 +37,13 @@ def safe(df: DataFrame) -> DataFrame:
 
 def resume_after(events: DataFrame, last_id: str | None) -> DataFrame:
     """Events after a position; a position that is no number is 0."""
-    return events.where(F.col("seq") > (int(last_id) if last_id and last_id.strip().isdigit() else 0))
+    return events.where(F.col("seq") > F.coalesce(F.lit(last_id).cast("string").try_cast("bigint"), F.lit(0)))
+
+
+def of_type(events: DataFrame, kind: str, schema: str) -> DataFrame:
+    """Events of one type with their payload's fields as columns: meeting_id, seq and those of schema."""
+    rows = events.where(F.col("type") == kind).select("meeting_id", "seq", F.from_json("payload", schema).alias("p"))
+    return rows.select("meeting_id", "seq", "p.*")
 
 
 def with_clocks(df: DataFrame) -> DataFrame:
@@ -102,6 +108,20 @@ def snapshot(events: DataFrame, as_of: Column, seconds: int = 60) -> DataFrame:
     )
 
 
+def hydrate(events: DataFrame, as_of: Column, seconds: int = 60) -> DataFrame:
+    """A meeting's cold load: snapshot's columns, the clock of all speakers up to as_of, and whether the last value is stale.
+
+    events has speaker_id and stale beside snapshot's columns. Meetings without events in the window are left out.
+    """
+    past = events.where(F.col("arrived_at") <= as_of)
+    own = past.where("speaker_id is not null").groupBy("meeting_id", "speaker_id").agg(F.count("*").alias("n"))
+    clocks = own.groupBy("meeting_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker_id", "n")))).alias("vclock"))
+    scored = past.where("type = 'consensus'").where(F.col("arrived_at") > as_of - F.make_interval(secs=F.lit(seconds)))
+    last = scored.groupBy("meeting_id").agg(F.max_by("stale", F.struct("arrived_at", "seq")).alias("stale"))
+    out = snapshot(events, as_of, seconds).join(clocks, "meeting_id", "left").join(last, "meeting_id", "left")
+    return out.withColumn("stale", F.coalesce("stale", F.lit(False)))
+
+
 def frames(events: DataFrame) -> DataFrame:
     """Text frames of an event stream: id, event and data lines and a blank line."""
     data = F.to_json(F.struct("type", "meeting_id", "payload", "seq"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
+from colloquy.operators.numbering import numbered
+from colloquy.sources.shared import kept
 
 #: Patterns. Word borders are ASCII, as the checks around them expect.
 EMAIL = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
@@ -19,6 +24,8 @@ KEYWORDS = ("password", "secret", "api_key", "apikey", "access_token", "refresh_
 SALUTATIONS = ("mr", "mrs", "ms", "dr", "prof", "he", "she", "they", "his", "her", "their")
 #: Kinds: name -> (priority, order of emission); the lower priority number wins.
 KINDS = {"EMAIL": (2, 0), "CARD": (0, 1), "IBAN": (1, 2), "MYNUMBER": (1, 3), "PHONE": (1, 4), "KEYWORD": (3, 5), "NAME": (4, 6)}
+#: Rows of seq that are numbered together, and rows of a part of a redaction map.
+BLOCK = 10_000
 SPAN = "array<struct<start:int,prio:int,emitted:int,end:int,kind:string>>"
 
 
@@ -103,9 +110,94 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumn("text", X.strip_format(X.nfkc(F.coalesce("text", F.lit("")))))
 
 
+def _luhn(digits: str) -> bool:
+    """Every second digit from the right counts double, less 9 above 9; the sum ends in 0."""
+    d = [int(c) for c in reversed(digits)]
+    return (sum(d[::2]) + sum(2 * x - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
+def _mod97(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def _mynumber(number: str) -> bool:
+    check = 11 - sum(int(d) * w for d, w in zip(number, X.MYNUMBER_WEIGHTS, strict=False)) % 11
+    return int(number[11]) == (0 if check >= 10 else check)
+
+
+class SpanFinder:
+    """All detectors on one text, with the results of the column functions above: (start, priority, emitted, end, kind)."""
+
+    def __init__(self, names: tuple[str, ...], keywords: tuple[str, ...], reach: int = 4):
+        self.email, self.phone = re.compile(EMAIL), re.compile(PHONE)
+        self.checked = ((re.compile(CARD), "CARD", lambda t: _luhn(re.sub("[^0-9]", "", t))), (re.compile(IBAN), "IBAN", _mod97), (re.compile(MYNUMBER), "MYNUMBER", _mynumber))
+        self.keywords, self.names = keywords, names
+        self.words = re.compile(r"[ \t\n,.;]+")
+        greeting = "(?:" + "|".join(SALUTATIONS) + ")"
+        within = rf"(?: [^ ]+){{0,{reach - 1}}} "
+        self.greeted = {n: re.compile(f" {n}{within}{greeting} | {greeting}{within}{n} ") for n in names}
+
+    def found(self, text: str) -> list[tuple[int, int, int, int, str]]:
+        out = []
+
+        def add(kind: str, start: int, end: int) -> None:
+            out.append((start, *KINDS[kind], end, kind))
+
+        low = text.lower()
+        if "@" in text:
+            for m in self.email.finditer(low):
+                add("EMAIL", *m.span())
+        if any(c in text for c in "0123456789"):
+            for pattern, kind, right in self.checked:
+                for m in pattern.finditer(text):
+                    if right(m[0]):
+                        add(kind, *m.span())
+            digit = "0123456789"
+            for m in self.phone.finditer(text):
+                start, end = m.span()
+                if 7 <= sum(c in digit for c in m[0]) <= 15 and not (start and text[start - 1] in digit) and not text[end : end + 1] in tuple(digit):
+                    add("PHONE", start, end)
+        for term in self.keywords:
+            at = low.find(term)
+            if at >= 0:
+                add("KEYWORD", at, at + len(term))
+        own = [w for w in self.words.split(low) if w]
+        held = set(own).intersection(self.greeted)
+        if held:
+            line = f" {' '.join(own)} "
+            for n in held:
+                if self.greeted[n].search(line):
+                    at = low.find(n)
+                    add("NAME", at, at + len(n))
+        return out
+
+    def resolved(self, text: str) -> list[tuple[int, int, int, int, str]]:
+        """As resolve: one pass from left to right."""
+        kept: list[tuple[int, int, int, int, str]] = []
+        for s in sorted(self.found(text)):
+            if not kept or s[0] >= kept[-1][3]:
+                kept.append(s)
+            elif s[1] < kept[-1][1] or s[1] == kept[-1][1] and s[3] - s[0] > kept[-1][3] - kept[-1][0]:
+                kept[-1] = s
+        return kept
+
+
 def with_spans(df: DataFrame, names: tuple[str, ...] = NAMES, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """df (text normalised) with spans: its resolved spans. The spans are made once, before they are folded."""
-    return df.withColumn("_found", all_spans(F.col("text"), names, keywords)).withColumn("spans", F.when(F.size("_found") > 0, resolve(F.col("_found"))).otherwise(F.array().cast(SPAN))).drop("_found")
+    """df (text normalised) with spans: its resolved spans, linear in a text and its matches.
+
+    The detectors run as one Arrow function over whole batches: chained column functions (all_spans and resolve, which
+    give the same) read each text some twenty times.
+    """
+    names, keywords = tuple(names), tuple(keywords)
+    fields = [("start", pa.int32()), ("prio", pa.int32()), ("emitted", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]
+    kind = pa.list_(pa.struct(fields))
+
+    @F.arrow_udf(SPAN)
+    def spans(texts: pa.Array) -> pa.Array:
+        find = SpanFinder(names, keywords).resolved
+        return pa.array([[dict(zip(("start", "prio", "emitted", "end", "kind"), s, strict=True)) for s in find(t or "")] for t in texts.to_pylist()], kind)
+
+    return df.withColumn("spans", spans("text"))
 
 
 def allowed_removed(tokens: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -116,24 +208,26 @@ def allowed_removed(tokens: DataFrame, allowlist: DataFrame) -> DataFrame:
 def tokens(df: DataFrame, allowlist: DataFrame | None = None) -> DataFrame:
     """One row per span: meeting_id, seq, kind, start, end, original, placeholder, hash. df: with_spans' rows.
 
-    Placeholders are numbered for each meeting and kind in order of seq and place. The window holds tokens only, a small
-    part of the texts, and spills; a meeting with most of all tokens still makes one long task.
+    Placeholders are numbered for each meeting and kind in order of seq and place, block by block of seq, so that a
+    meeting with most of all tokens is spread over many tasks.
     """
     # explode would have Spark test the spans before making them, at twice the cost; explode_outer doesn't.
-    rows = df.select("meeting_id", "seq", "text", F.explode_outer("spans").alias("s")).where("s is not null")
+    rows = df.select(F.coalesce("meeting_id", F.lit("")).alias("meeting_id"), "seq", "text", F.explode_outer("spans").alias("s")).where("s is not null")
     rows = rows.select("meeting_id", "seq", "s.kind", "s.start", "s.end", F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("original"))
     rows = allowed_removed(rows, allowlist) if allowlist is not None else rows
-    order = Window.partitionBy("meeting_id", "kind").orderBy("seq", "start")
-    rows = rows.withColumn("placeholder", F.concat(F.lit("["), "kind", F.lit("_"), F.row_number().over(order), F.lit("]")))
+    # The few tokens are written once, so that the detectors read every text once.
+    rows = kept(rows, "tokens")
+    rows = numbered(rows, ["meeting_id", "kind"], ["seq", "start"], F.floor(F.col("seq") / BLOCK), "_n")
+    rows = rows.withColumn("placeholder", F.concat(F.lit("["), "kind", F.lit("_"), "_n", F.lit("]"))).drop("_n")
     return rows.withColumn("hash", X.token_hash(F.col("original"), F.col("meeting_id")))
 
 
 def redact(df: DataFrame, allowlist: DataFrame | None = None, names: tuple[str, ...] = NAMES, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
     """meeting_id, speaker_id, seq and the other columns without text, with redactions and redacted_text.
 
-    (meeting_id, seq) identifies a row. Text without personal data takes no part in any shuffle but the last join.
+    (meeting_id, seq) identifies a row; a null meeting counts as the empty one. Text without personal data takes no part in any shuffle but the last join.
     """
-    df = with_spans(normalised(df), names, keywords)
+    df = with_spans(normalised(df.withColumn("meeting_id", F.coalesce("meeting_id", F.lit("")))), names, keywords)
     found = tokens(df, allowlist)
     item = F.struct("start", "end", "kind", "placeholder", "hash")
     lists = found.groupBy("meeting_id", "seq").agg(F.array_sort(F.collect_list(item)).alias("redactions"))
@@ -147,9 +241,14 @@ def redact(df: DataFrame, allowlist: DataFrame | None = None, names: tuple[str,
     return out.withColumn("redacted_text", spliced).drop("text", "spans")
 
 
-def redaction_map(found: DataFrame) -> DataFrame:
+def redaction_map(found: DataFrame, by: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
     """Per meeting the ordered list of placeholders with kind, hash and place."""
-    return found.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "kind", "placeholder", "hash"))).alias("entries"))
+    return found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "kind", "placeholder", "hash"))).alias("entries"))
+
+
+def redaction_map_parts(found: DataFrame) -> DataFrame:
+    """The map of each meeting in numbered parts by blocks of seq, for meetings whose map is too long for one row."""
+    return redaction_map(found.withColumn("part", F.floor(F.col("seq") / BLOCK)), ("meeting_id", "part"))
 
 
 def encrypted_map(maps: DataFrame, keys: DataFrame) -> DataFrame:

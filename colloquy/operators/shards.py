@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.clocks import as_json
+from colloquy.operators.numbering import numbered
 
 
 def assign_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame:
@@ -13,26 +16,58 @@ def assign_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame
     bucket = F.floor(F.unix_timestamp("arrived_at") / seconds)
     order = Window.partitionBy("meeting_id", "_bucket").orderBy("arrived_at", "speaker_id", "seq")
     out = df.withColumn("_bucket", bucket).withColumn("_part", F.floor((F.row_number().over(order) - 1) / most))
-    suffix = F.substring(F.sha2(F.concat_ws("|", "meeting_id", "_bucket", "_part"), 256), 1, 4)
-    return out.withColumn("shard_id", F.concat(F.col("_bucket").cast("string"), F.lit("-"), suffix)).drop("_bucket", "_part")
+    return out.withColumn("shard_id", shard_id(F.col("meeting_id"), F.col("_bucket"), F.col("_part"))).drop("_bucket", "_part")
+
+
+def shard_id(meeting: Column, bucket: Column, part: Column) -> Column:
+    suffix = F.substring(F.sha2(F.concat_ws("|", meeting, bucket, part), 256), 1, 4)
+    return F.concat(bucket.cast("string"), F.lit("-"), suffix)
+
+
+#: What an event of a shard may carry beside its text, and its type.
+CARRIED = {"intent_vec": "array<double>", "consensus": "double", "consensus_delta": "double", "cultural_tags": "array<string>", "embedding_model": "string"}
 
 
 def shard_documents(df: DataFrame) -> DataFrame:
-    """One document per shard: start, end, events in order, count. A shard has at most as many events as its rule allows."""
-    event = F.struct("arrived_at", "seq", "speaker_id", "redacted_text", as_json(F.col("vclock")).alias("vclock_json"))
+    """One document per shard: start, end, events in order, count. A shard has at most as many events as its rule allows.
+
+    Events carry seq, speaker, arrival, text, clock, shard and, null where df lacks them, the columns of CARRIED.
+    """
+    carried = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in CARRIED.items()]
+    event = F.struct("arrived_at", "seq", "speaker_id", "redacted_text", as_json(F.col("vclock")).alias("vclock_json"), *carried)
     return df.groupBy("meeting_id", "shard_id").agg(F.min("arrived_at").alias("start_ts"), F.max("arrived_at").alias("end_ts"), F.array_sort(F.collect_list(event)).alias("events"), F.count("*").alias("write_count"))
 
 
+def with_shard_index(shards: DataFrame) -> DataFrame:
+    """shards with shard_index: 1, 2, ... within the meeting by start, the order in which an export reads them."""
+    return numbered(shards, ["meeting_id"], ["start_ts", "shard_id"], F.to_date("start_ts"), "shard_index")
+
+
+def meeting_of(resource: Column) -> Column:
+    """The meeting in the resource name of a control document (.../documents/meetings/{id}/...); empty without one."""
+    return F.regexp_extract(resource, "/documents/meetings/([^/]*)", 1)
+
+
+def coerced(rows: DataFrame) -> DataFrame:
+    """Export rows as a warehouse takes them: scores as numbers, 0 where there is none, other fields as text."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    number = lambda c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if kinds[c] in ("double", "float") else F.lit(0.0)).alias(c)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("<nil>")).alias(c)
+    made = {c: number(c) for c in ("consensus", "consensus_delta")} | {c: text(c) for c in ("seq", "speaker_id", "redacted_text", "shard_id")}
+    return rows.select(*[made.get(c, F.col(c)) if c in made else F.col(c) for c in rows.columns])
+
+
 def finalized(shards: DataFrame, marked: DataFrame) -> DataFrame:
     """Shards of the meetings that a control table marks as done."""
     return shards.join(marked.select("meeting_id").distinct(), "meeting_id", "left_semi")
 
 
 def export(shards: DataFrame) -> DataFrame:
-    """Flat utterance rows, one for each meeting, speaker and seq, however often a shard was written."""
+    """Flat utterance rows of the warehouse, one for each meeting, speaker and seq, however often a shard was written."""
     rows = shards.select("meeting_id", "shard_id", F.explode("events").alias("e")).select("meeting_id", "shard_id", "e.*")
     key = F.concat_ws("-", "meeting_id", "speaker_id", "seq")
-    one = rows.withColumn("utterance_id", key).groupBy("utterance_id").agg(F.min(F.struct("meeting_id", "speaker_id", "arrived_at", "redacted_text", "vclock_json", "shard_id")).alias("r"))
+    columns = ["meeting_id", "speaker_id", "arrived_at", "redacted_text", "intent_vec", "consensus", "consensus_delta", "cultural_tags", "vclock_json", "shard_id", "embedding_model"]
+    one = rows.withColumn("utterance_id", key).groupBy("utterance_id").agg(F.min(F.struct(*columns)).alias("r"))
     return one.select("utterance_id", "r.*")
 
 
@@ -47,9 +82,25 @@ def write_warehouse(rows: DataFrame, path: str) -> None:
     dated.repartitionByRange("day", "meeting_id").sortWithinPartitions("day", "meeting_id", "speaker_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def write_dead_letters(events: DataFrame, path: str) -> None:
-    """Append events that a sink refused, as JSON lines by meeting."""
-    events.select("meeting_id", "seq", F.col("arrived_at").alias("ts"), F.to_json(F.struct(*[c for c in events.columns if c != "meeting_id"])).alias("payload")).write.mode("append").partitionBy("meeting_id").json(path)
+def write_dead_letters(events: DataFrame, path: str, batch: int | None = None) -> None:
+    """Write events that a sink refused, as JSON lines by meeting. With a batch number a retry replaces its own lines."""
+    lines = events.select("meeting_id", "seq", F.col("arrived_at").alias("ts"), F.to_json(F.struct(*[c for c in events.columns if c != "meeting_id"])).alias("payload"))
+    if batch is None:
+        lines.write.mode("append").partitionBy("meeting_id").json(path)
+    else:
+        lines.write.mode("overwrite").partitionBy("meeting_id").json(f"{path}/batch={batch}")
+
+
+def reflush(events: DataFrame, sink: Callable[[DataFrame], None], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """Replayed events written again, each meeting's under the shard of its first event; done() runs only if that worked.
+
+    events: replay's rows, p having shard_id. Returns what was given to the sink.
+    """
+    first = events.groupBy("meeting_id").agg(F.min_by("p.shard_id", F.struct("ts", "seq")).alias("shard_id"))
+    out = events.join(first, "meeting_id").select("meeting_id", "shard_id", "seq", "ts", "p")
+    sink(out)
+    done()
+    return out
 
 
 def replay(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +28,18 @@ def histogram(df: DataFrame, bounds: list[float], *by: str) -> DataFrame:
 
 def quantile(cumulative: DataFrame, q: float, *by: str) -> DataFrame:
     """Interpolated inside the bucket that holds the rank; the last bound if the rank is beyond it; null without events."""
+    return quantiles(cumulative, [q], *by).drop("q")
+
+
+def quantiles(cumulative: DataFrame, qs: list[float], *by: str) -> DataFrame:
+    """quantile for several shares, which come as column q, from one reading of the buckets."""
     w = Window.partitionBy(*by).orderBy("le")
     rows = cumulative.withColumns({"lo": F.coalesce(F.lag("le").over(w), F.lit(0.0)), "below": F.coalesce(F.lag("n").over(w), F.lit(0)), "all": F.max("n").over(Window.partitionBy(*by))})
-    rank = F.col("all") * q
+    rows = rows.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    rank = F.col("all") * F.col("q")
     hit = rows.where((F.col("n") >= rank) & (F.col("all") > 0) & ((F.col("below") < rank) | (F.col("below") == 0)))
     value = F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(F.col("lo") + (F.col("le") - F.col("lo")) * (rank - F.col("below")) / F.nullif(F.col("n") - F.col("below"), F.lit(0)))
-    return hit.groupBy(*by).agg(F.min_by(value, "le").alias("value"))
+    return hit.groupBy(*by, "q").agg(F.min_by(value, "le").alias("value"))
 
 
 def rates(df: DataFrame, minutes: int, *by: str) -> DataFrame:
@@ -58,10 +68,75 @@ def sustained(windows: DataFrame, condition: Column, step_seconds: int, for_seco
 
 
 def throttled(df: DataFrame, seconds: int = 30) -> DataFrame:
-    """Per meeting the times at which a call that is made at most once in `seconds` is made again."""
-    times = F.array_sort(F.collect_list(F.unix_timestamp("ts")))
-    kept = F.aggregate("t", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= seconds), F.concat(a, F.array(x))).otherwise(a))
-    return df.groupBy("meeting_id").agg(times.alias("t")).select("meeting_id", F.explode(kept).alias("at"))
+    """Per meeting the times at which a call that is made at most once in `seconds` is made again.
+
+    A call that comes `seconds` or more after the one before is always made, so a meeting falls into spells that have
+    nothing to do with each other. Spells are sorted and streamed; of a spell only the last call made is kept.
+    """
+    times = df.select("meeting_id", F.unix_timestamp("ts").alias("at")).where("meeting_id is not null and at is not null").distinct()
+    order = Window.partitionBy("meeting_id").orderBy("at")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(order) >= seconds, F.lit(True))
+    spells = times.withColumn("spell", F.sum(fresh.cast("long")).over(order))
+    dealt = spells.repartition("meeting_id", "spell").sortWithinPartitions("meeting_id", "spell", "at")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            meetings, at, spell = (batch.column(i).to_pylist() for i in range(3))
+            rows = []
+            for i, now in enumerate(zip(meetings, spell, strict=True)):
+                if now != key or at[i] - last >= seconds:
+                    key, last = now, at[i]
+                    rows.append(i)
+            yield batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+
+    return dealt.mapInArrow(keep, df.select("meeting_id").schema.simpleString()[len("struct<") : -1].replace(":", " ", 1) + ", at long")
+
+
+@dataclass(frozen=True)
+class Alert:
+    """A rule: in windows of `window` seconds a measure of a metric lies above a limit, for at least `lasting` seconds.
+
+    measure: rate (sum of values a second), gauge (last value), mean, or a quantile of the values as a number.
+    """
+
+    name: str
+    metric: str
+    measure: str | float
+    limit: float
+    window: int
+    lasting: int
+    summary: str
+
+
+#: The service-level alerts.
+ALERTS = (
+    Alert("E2ELatencyHigh", "e2e_latency_ms", 0.95, 2000, 60, 120, "p95 end-to-end latency above 2 s"),
+    Alert("RedactLatencyHigh", "redact_latency_us", 0.99, 50_000, 60, 120, "p99 redaction latency above 50 ms"),
+    Alert("DropRateNonZero", "drop_total", "rate", 0, 60, 60, "messages are being dropped"),
+    Alert("BreakerOpen", "breaker_open", "gauge", 0.5, 30, 30, "the embedder's circuit breaker is open"),
+    Alert("EmbedQueueDepthHigh", "embed_queue_depth", "gauge", 500, 60, 60, "more than 500 texts wait for embedding"),
+    Alert("FirestoreWriteQuota70", "shard_write_total", "rate", 350, 300, 300, "shard writes near 70 % of the quota"),
+    Alert("GCPauseHigh", "gc_pause_ns", "mean", 1e6, 60, 120, "mean collection pause above 1 ms"),
+)
+
+
+def alerts(samples: DataFrame, rules: tuple[Alert, ...] = ALERTS, bounds: list[float] | None = None) -> DataFrame:
+    """name, label, from_ts, to_ts, windows of every spell in which a rule holds. samples: ts, metric, label, value.
+
+    Quantiles are those of histograms with the given bounds. Rows without a metric or time fit no rule.
+    """
+    out = None
+    for rule in rules:
+        own = samples.where(F.col("metric") == rule.metric).withColumn("ts", F.window("ts", f"{rule.window} seconds")["start"])
+        if isinstance(rule.measure, float):
+            measured = quantile(histogram(own, bounds or exponential(1.0, 2.0, 20), "ts", "label"), rule.measure, "ts", "label")
+        else:
+            how = {"rate": F.sum("value") / rule.window, "gauge": F.max_by("value", "seq"), "mean": F.avg("value")}[rule.measure]
+            measured = own.groupBy("ts", "label").agg(how.alias("value"))
+        spells = sustained(measured, F.col("value") > rule.limit, rule.window, rule.lasting, "label").select(F.lit(rule.name).alias("name"), "label", "from_ts", "to_ts", "windows")
+        out = spells if out is None else out.unionByName(spells)
+    return out
 
 
 def hit_ratio(df: DataFrame, minutes: int, key: str) -> DataFrame:

@@ -40,8 +40,9 @@ def safe_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bridge = envelopes(spark, sf_dir).where("type = 'bridge'")
-    return bridge.select("meeting_id", "seq", F.from_json("payload", "k bigint")["k"].alias("k"))
+    e = envelopes(spark, sf_dir)
+    parts = [E.of_type(e, kind, "k bigint").withColumn("type", F.lit(kind)) for kind in ("utterance", "consensus", "bridge")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def resume_after(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def envelope_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.ring(envelopes(spark, sf_dir), 3600, ("type",)).select("seq", "type", "in_ring", "oldest")
+    return E.ring(envelopes(spark, sf_dir)).select("seq", "meeting_id", "in_ring", "oldest")
 
 
 def _as_of(spark: SparkSession, sf_dir: str):
@@ -94,6 +95,12 @@ def meeting_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("meeting_id", "n_events", "last_at", F.round("score", 6).alias("score"), F.concat_ws(",", F.transform("events", lambda e: F.concat_ws(":", e["seq"].cast("string"), e["type"]))).alias("events"))
 
 
+def hydrated_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = envelopes(spark, sf_dir).withColumns({"speaker_id": (F.col("seq") % 3).cast("string"), "stale": F.col("seq") % 2 == 0})
+    h = E.hydrate(e, _as_of(spark, sf_dir), 86_400)
+    return h.select("meeting_id", "n_events", F.round("score", 6).alias("score"), as_json(F.col("vclock")).alias("vclock"), "stale")
+
+
 def active_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = E.snapshot(envelopes(spark, sf_dir), _as_of(spark, sf_dir), 3600)
     return live.select("meeting_id", F.col("meeting_id").alias("title"), F.lit("active").alias("state"))
@@ -104,7 +111,16 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.assign_shards(_clocked(spark, sf_dir).withColumnRenamed("text", "redacted_text"), most=2)
+    u = _clocked(spark, sf_dir).withColumnRenamed("text", "redacted_text")
+    scored = F.when(F.col("seq") % 3 != 0, F.col("seq") / 8)
+    carried = {"intent_vec": F.array(F.char_length("redacted_text").cast("double"), F.col("seq").cast("double")), "consensus": scored, "consensus_delta": scored / 2, "cultural_tags": F.array("speaker_id"), "embedding_model": F.lit("lengths")}
+    return S.assign_shards(u.withColumns(carried), most=2)
+
+
+def ruled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by the sink's own rule of 50 events and 10 seconds."""
+    s = S.with_shard_index(S.shard_documents(S.assign_shards(_clocked(spark, sf_dir).withColumnRenamed("text", "redacted_text"))))
+    return s.select("meeting_id", "shard_id", "shard_index", "write_count")
 
 
 def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +138,21 @@ def finalized_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = S.shard_documents(_sharded(spark, sf_dir))
-    return S.export(S.finalized(shards.unionByName(shards), _marked(spark, sf_dir)))
+    rows = S.export(S.finalized(shards.unionByName(shards), _marked(spark, sf_dir)))
+    return rows.withColumns({"intent_vec": F.concat_ws(",", F.transform("intent_vec", lambda x: x.cast("bigint").cast("string"))), "cultural_tags": F.concat_ws(",", "cultural_tags")})
+
+
+def coerced_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export rows as the warehouse takes them, with the order of their shard."""
+    shards = S.with_shard_index(S.shard_documents(_sharded(spark, sf_dir)))
+    rows = shards.select("meeting_id", "shard_index", "shard_id", F.explode("events").alias("e")).select("meeting_id", "shard_index", "shard_id", "e.seq", "e.speaker_id", "e.redacted_text", "e.consensus", "e.consensus_delta")
+    return S.coerced(rows)
+
+
+def control_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meeting that each control document's resource name stands for."""
+    name = F.concat(F.lit("projects/p/databases/d"), F.when(F.col("seq") % 2 == 0, F.lit("/documents/meetings/")).otherwise("/other/"), "meeting_id", F.lit("/control/finalized"))
+    return utterances(spark, sf_dir).select(name.alias("resource"), S.meeting_of(name).alias("meeting_id"))
 
 
 def replay_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +180,7 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = slo.histogram(_metrics(spark, sf_dir), BOUNDS, "label")
-    parts = [slo.quantile(h, q, "label").select("label", F.lit(q).alias("q"), F.round("value", 6).alias("value")) for q in (0.5, 0.95, 0.99)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return slo.quantiles(h, [0.5, 0.95, 0.99], "label").select("label", "q", F.round("value", 6).alias("value"))
 
 
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +201,16 @@ def slo_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slo.sustained(r, F.col("rate") > 2 / 3600, 3600, 7200, "label")
 
 
+def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven service-level alerts over the events as samples of their metrics, a day taken as a minute."""
+    names = F.array(*[F.lit(x) for x in ("e2e_latency_ms", "redact_latency_us", "drop_total", "breaker_open", "embed_queue_depth", "shard_write_total", "gc_pause_ns")])
+    scale = F.array(*[F.lit(float(x)) for x in (100, 2000, 1, 1, 10, 1000, 50_000)])
+    at = F.pmod(F.col("seq"), F.lit(7)).cast("int")
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.floor((F.unix_timestamp("ts") - 1_704_067_200) / 1440))
+    samples = _metrics(spark, sf_dir).select(ts.alias("ts"), "seq", F.lit("all").alias("label"), F.get(names, at).alias("metric"), (F.col("value") * F.get(scale, at)).alias("value"))
+    return slo.alerts(samples)
+
+
 def throttled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slo.throttled(_metrics(spark, sf_dir).select("meeting_id", "ts"), 86_400)
 
@@ -183,8 +222,8 @@ def embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (decode_messages, ack_lag, validate_messages, safe_projection, events_by_type, resume_after, vector_clocks, total_order, merged_clocks, causal_pairs, event_log, envelope_seq, ring_window, meeting_snapshot, active_meetings, sse_frames,
-              shard_documents, finalized_shards, export_utterances, replay_dead_letters, drop_counts, latency_histogram, latency_quantiles, event_rates, cache_hit_ratio, failure_bursts, slo_alerts, throttled_calls, embed_dedup)
+    for f in (decode_messages, ack_lag, validate_messages, safe_projection, events_by_type, resume_after, vector_clocks, total_order, merged_clocks, causal_pairs, event_log, envelope_seq, ring_window, meeting_snapshot, hydrated_meetings, active_meetings, sse_frames,
+              shard_documents, ruled_shards, finalized_shards, export_utterances, coerced_export, control_documents, replay_dead_letters, drop_counts, latency_histogram, latency_quantiles, event_rates, cache_hit_ratio, failure_bursts, slo_alerts, alert_rules, throttled_calls, embed_dedup)
 }
 
 _U = "u AS (SELECT conv_id::VARCHAR AS meeting_id, role AS speaker_id, turn AS seq, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 7) AS arrived_at, text FROM conversations)"
@@ -202,7 +241,7 @@ ORACLES = {
     "ack_lag": f"SELECT conv_id::VARCHAR AS meeting_id, turn AS seq, turn * 11 AS lag_ms FROM conversations WHERE {_BR}",
     "validate_messages": "SELECT conv_id::VARCHAR AS meeting_id, turn AS seq, CASE WHEN strlen(repeat(text, 40)) > 65536 THEN 'too long' WHEN turn = 2 AND strlen(role) * 40 > 128 THEN 'speaker id' WHEN turn = 1 THEN 'other meeting' END AS reason FROM conversations",
     "safe_projection": f"WITH {_U} SELECT meeting_id, speaker_id, seq, arrived_at FROM u",
-    "events_by_type": f"WITH {_E} SELECT meeting_id, seq, (payload::JSON ->> 'k')::BIGINT AS k FROM e WHERE type = 'bridge'",
+    "events_by_type": f"WITH {_E} SELECT meeting_id, seq, (payload::JSON ->> 'k')::BIGINT AS k, type FROM e WHERE type IN ('utterance', 'consensus', 'bridge')",
     "resume_after": f"WITH {_E} SELECT meeting_id, seq, type FROM e WHERE seq > 143",
     "vector_clocks": f"WITH {_CL} SELECT meeting_id, seq, {_JSON} AS vclock FROM cl GROUP BY 1, 2",
     "merged_clocks": f"WITH {_CL} SELECT meeting_id, {_JSON} AS vclock FROM (SELECT meeting_id, who, max(n) AS n FROM cl GROUP BY ALL) GROUP BY 1",
@@ -215,14 +254,26 @@ ORACLES = {
     "event_log": f"""WITH {_U}, {_E}, l AS (SELECT 'utterance' AS type, meeting_id, arrived_at AS ts, sha256(text) AS payload FROM u UNION ALL SELECT type, meeting_id, arrived_at, payload FROM e WHERE type <> 'heartbeat')
         SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ts, type, payload)::BIGINT AS seq FROM l""",
     "envelope_seq": f"WITH {_E} SELECT meeting_id, seq AS event_id, row_number() OVER (PARTITION BY meeting_id ORDER BY arrived_at, seq)::BIGINT AS meeting_seq FROM e",
-    "ring_window": f"WITH {_E} SELECT seq, type, count(*) OVER w AS in_ring, min(arrived_at) OVER w AS oldest FROM e WINDOW w AS (PARTITION BY type ORDER BY arrived_at RANGE BETWEEN INTERVAL 3599999999 microseconds PRECEDING AND CURRENT ROW)",
+    "ring_window": f"WITH {_E} SELECT seq, meeting_id, count(*) OVER w AS in_ring, min(arrived_at) OVER w AS oldest FROM e WINDOW w AS (PARTITION BY meeting_id ORDER BY arrived_at RANGE BETWEEN INTERVAL 59999999 microseconds PRECEDING AND CURRENT ROW)",
     "meeting_snapshot": f"""WITH {_E}, m AS (SELECT max(arrived_at) AS t FROM e) SELECT meeting_id, count(*) AS n_events, max(arrived_at) AS last_at, round(arg_max(value, (arrived_at, seq)) FILTER (type = 'consensus'), 6) AS score,
         string_agg(seq || ':' || type, ',' ORDER BY seq, type, payload) AS events FROM e, m WHERE arrived_at > t - INTERVAL 1 day GROUP BY 1""",
+    "hydrated_meetings": f"""WITH {_E}, m AS (SELECT max(arrived_at) AS t FROM e), l AS (SELECT e.* FROM e, m WHERE arrived_at > t - INTERVAL 1 day),
+        w AS (SELECT meeting_id, (seq % 3)::VARCHAR AS who, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT meeting_id, {_JSON} AS vclock FROM w GROUP BY 1)
+        SELECT meeting_id, count(*) AS n_events, round(arg_max(value, (arrived_at, seq)) FILTER (type = 'consensus'), 6) AS score, any_value(vclock) AS vclock,
+               coalesce(arg_max(seq % 2 = 0, (arrived_at, seq)) FILTER (type = 'consensus'), false) AS stale FROM l JOIN k USING (meeting_id) GROUP BY 1""",
     "active_meetings": f"WITH {_E}, m AS (SELECT max(arrived_at) AS t FROM e) SELECT DISTINCT meeting_id, meeting_id AS title, 'active' AS state FROM e, m WHERE arrived_at > t - INTERVAL 1 hour",
     "sse_frames": f"""WITH {_E} SELECT meeting_id, seq, 'id: ' || seq || chr(10) || 'event: ' || type || chr(10) || 'data: {{"type":"' || type || '","meeting_id":"' || meeting_id || '","payload":' || to_json(payload)::VARCHAR || ',"seq":' || seq || '}}' || chr(10) || chr(10) AS frame FROM e""",
     "shard_documents": f"WITH {_SH} SELECT meeting_id, shard_id, min(arrived_at) AS start_ts, max(arrived_at) AS end_ts, count(*) AS write_count, string_agg(seq::VARCHAR, ',' ORDER BY arrived_at, seq) AS seqs FROM sh GROUP BY 1, 2",
     "finalized_shards": f"WITH {_SH} SELECT meeting_id, shard_id, count(*) AS write_count FROM sh JOIN mk USING (meeting_id) GROUP BY 1, 2",
-    "export_utterances": f"WITH {_SH}, j AS (SELECT meeting_id, seq, {_JSON} AS vclock_json FROM cl GROUP BY 1, 2) SELECT meeting_id || '-' || speaker_id || '-' || seq AS utterance_id, meeting_id, speaker_id, arrived_at, text AS redacted_text, vclock_json, shard_id FROM sh JOIN mk USING (meeting_id) JOIN j USING (meeting_id, seq)",
+    "ruled_shards": f"""WITH {_U}, b AS (SELECT *, epoch(arrived_at)::BIGINT // 10 AS b FROM u), p AS (SELECT *, (row_number() OVER (PARTITION BY meeting_id, b ORDER BY arrived_at, speaker_id, seq) - 1) // 50 AS p FROM b),
+        d AS (SELECT meeting_id, b || '-' || left(sha256(meeting_id || '|' || b || '|' || p), 4) AS shard_id, min(arrived_at) AS start_ts, count(*) AS write_count FROM p GROUP BY meeting_id, b, p)
+        SELECT meeting_id, shard_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ts, shard_id) AS shard_index, write_count FROM d""",
+    "coerced_export": f"""WITH {_SH}, d AS (SELECT meeting_id, shard_id, min(arrived_at) AS start_ts FROM sh GROUP BY ALL),
+        i AS (SELECT meeting_id, shard_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ts, shard_id) AS shard_index FROM d)
+        SELECT meeting_id, shard_index, shard_id, seq::VARCHAR AS seq, speaker_id, coalesce(text, '<nil>') AS redacted_text, CASE WHEN seq % 3 <> 0 THEN seq / 8.0::DOUBLE ELSE 0 END AS consensus, CASE WHEN seq % 3 <> 0 THEN seq / 16.0::DOUBLE ELSE 0 END AS consensus_delta
+        FROM sh JOIN i USING (meeting_id, shard_id)""",
+    "control_documents": "SELECT 'projects/p/databases/d' || CASE WHEN turn % 2 = 0 THEN '/documents/meetings/' ELSE '/other/' END || conv_id || '/control/finalized' AS resource, CASE WHEN turn % 2 = 0 THEN conv_id::VARCHAR ELSE '' END AS meeting_id FROM conversations",
+    "export_utterances": f"WITH {_SH}, j AS (SELECT meeting_id, seq, {_JSON} AS vclock_json FROM cl GROUP BY 1, 2) SELECT meeting_id || '-' || speaker_id || '-' || seq AS utterance_id, meeting_id, speaker_id, arrived_at, text AS redacted_text, length(text) || ',' || seq AS intent_vec, CASE WHEN seq % 3 <> 0 THEN seq / 8.0::DOUBLE END AS consensus, CASE WHEN seq % 3 <> 0 THEN seq / 16.0::DOUBLE END AS consensus_delta, speaker_id AS cultural_tags, vclock_json, shard_id, 'lengths' AS embedding_model FROM sh JOIN mk USING (meeting_id) JOIN j USING (meeting_id, seq)",
     "replay_dead_letters": f"WITH {_U} SELECT meeting_id, seq, arrived_at AS ts, speaker_id, text FROM u WHERE seq % 4 <> 3",
     "drop_counts": f"WITH {_E} SELECT type AS label, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY 1",
     "latency_histogram": f"WITH {_H} SELECT label, le, n FROM h",

@@ -66,7 +66,5 @@ QUERIES = {f.__name__: f for f in (stream_consensus, stream_clocks, stream_rates
 ORACLES = {
     "stream_consensus": batch.ORACLES["consensus_scores"],
     "stream_clocks": batch_events.ORACLES["vector_clocks"],
-    "stream_rates": "WITH m AS (SELECT max(ts) AS t FROM events) SELECT date_trunc('hour', ts) AS ts, "
-    + batch_events._T
-    + " AS label, round(count(*) / 3600.0::DOUBLE, 9) AS rate FROM events, m WHERE date_trunc('hour', ts) < t - INTERVAL 1 day GROUP BY 1, 2",
+    "stream_rates": f"SELECT date_trunc('hour', ts) AS ts, {batch_events._T} AS label, round(count(*) / 3600.0::DOUBLE, 9) AS rate FROM events GROUP BY 1, 2",
 }

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}  # by application, where the session names no folder
 _INSIDE: list[str] = []
@@ -29,6 +29,13 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{_INSIDE[-1] if _INSIDE else shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df written as a table in the shared folder and read again, so that what made it runs once."""
+    path = fresh(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table or folder."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.operators import redaction as R
 
@@ -55,3 +58,20 @@ def test_counters_allowlist_and_hash(spark):
     assert got == {("m1", 1): "mail [EMAIL_1]", ("m1", 2): "mail [EMAIL_2] and [EMAIL_3]", ("m2", 1): "email user@example.com is fine"}
     one = spark.createDataFrame([("m1", "a", 1, "user@example.com")], "meeting_id string, speaker_id string, seq long, text string")
     assert R.tokens(R.with_spans(one)).first()["hash"] == "c8a2d26b9b1f632fa4443fd6039f3ebf8bfc6abae3d99c075164b21bda488768"
+
+
+def test_arrow_detectors_equal_the_column_functions(spark):
+    rng = random.Random(3)
+    parts = ["Alice", "mr", "she", "bob", "a.b@c.de", "4539 1488 0343 6467", "GB82WEST12345698765432", "123456789018", "+81 90-1234-5678", "(03) 1234 5678", "api_key", "bearer", ".", ",", ";", "\n", "12", "999", "x" * 5, "É", "İ", "SSN", "12345678901234567890", "DE44500105175407324931"]
+    rows = [(str(i % 3), i, "".join(rng.choice(parts) + rng.choice([" ", "", "  "]) for _ in range(rng.randint(0, 25)))) for i in range(400)]
+    df = R.normalised(spark.createDataFrame(rows, "meeting_id string, seq long, text string"))
+    slow = df.select("seq", R.resolve(R.all_spans(F.col("text"))).alias("spans"))
+    assert sorted(map(str, slow.collect())) == sorted(map(str, R.with_spans(df).select("seq", "spans").collect()))
+
+
+def test_texts_without_a_meeting_are_redacted_too(spark):
+    df = spark.createDataFrame([(None, "s", 1, "write to a@b.cd"), ("m", "s", 30_000, "a@b.cd"), ("m", "s", 2, "c@d.ef")], "meeting_id string, speaker_id string, seq long, text string")
+    got = {(r["meeting_id"], r["seq"]): r["redacted_text"] for r in R.redact(df).collect()}
+    assert got == {("", 1): "write to [EMAIL_1]", ("m", 2): "[EMAIL_1]", ("m", 30_000): "[EMAIL_2]"}
+    parts = R.redaction_map_parts(R.tokens(R.with_spans(R.normalised(df)))).collect()
+    assert sorted((r["meeting_id"], r["part"], len(r["entries"])) for r in parts) == [("", 0, 1), ("m", 0, 1), ("m", 3, 1)]

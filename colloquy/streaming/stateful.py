@@ -1,4 +1,4 @@
-"""Stateful streams: consensus, vector clocks, placeholders, shards and rates, with the results of their batch forms.
+"""Stateful streams: consensus, vector clocks, placeholders, shards, recent windows and rates, with the results of their batch forms.
 
 Rows of a key are taken in the order of seq inside a micro-batch; across micro-batches in the order of arrival. State is
 kept per meeting and expires after `idle` of no rows, if given.
@@ -6,6 +6,7 @@ kept per meeting and expires after `idle` of no rows, if given.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from colloquy.operators import embedding, slo
 from colloquy.operators import shards as S
-from colloquy.operators import slo
 from colloquy.operators.consensus import KEEP, NEW
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,11 +73,11 @@ class ConsensusProcessor(StatefulProcessor):
 class CountingProcessor(StatefulProcessor):
     """State: how often each value of a column has been seen in the meeting. Gives each row the counters after it, or its own."""
 
-    def __init__(self, column: str, own: bool):
-        self.column, self.own = column, own
+    def __init__(self, column: str, own: bool, idle_ms: int | None = None):
+        self.column, self.own, self.idle_ms = column, own, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "value string", "n bigint")
+        self.seen = handle.getMapState("seen", "value string", "n bigint", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         counts = {k[0]: v[0] for k, v in self.seen.iterator()}
@@ -84,16 +85,68 @@ class CountingProcessor(StatefulProcessor):
         for row in _in_order(rows).itertuples(index=False):
             value = getattr(row, self.column)
             counts[value] = counts.get(value, 0) + 1
-            text = f"[{value}_{counts[value]}]" if self.own else "{" + ",".join(f'"{k}":{counts[k]}' for k in sorted(counts)) + "}"
+            text = f"[{value}_{counts[value]}]" if self.own else json.dumps(dict(sorted(counts.items())), ensure_ascii=False, separators=(",", ":"))
             out.append((key[0], row.seq, text))
         for k, n in counts.items():
             self.seen.updateValue((k,), (n,))
         yield pd.DataFrame(out, columns=["meeting_id", "seq", "result"])
 
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+class ShardProcessor(StatefulProcessor):
+    """State: how many events each time bucket of the meeting has had, so that parts go on being counted in later batches."""
+
+    def __init__(self, seconds: int, most: int, columns: list[str], idle_ms: int | None = None):
+        self.seconds, self.most, self.columns, self.idle_ms = seconds, most, columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "bucket bigint", "n bigint", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["arrived_at", "speaker_id", "seq"], kind="stable")
+        counts: dict[int, int] = {}
+        parts = []
+        for bucket in frame["shard_bucket"]:
+            if bucket not in counts:
+                counts[bucket] = self.seen.getValue((int(bucket),))[0] if self.seen.containsKey((int(bucket),)) else 0
+            parts.append(counts[bucket] // self.most)
+            counts[bucket] += 1
+        for bucket, n in counts.items():
+            self.seen.updateValue((int(bucket),), (int(n),))
+        yield frame.assign(shard_part=parts)[[*self.columns, "shard_part"]]
+
+
+class RecentProcessor(StatefulProcessor):
+    """State: the meeting's events of the last seconds, and its latest consensus value. Gives the state after each batch."""
+
+    def __init__(self, seconds: int, idle_ms: int | None = None):
+        self.seconds, self.idle_ms = seconds, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getValueState("recent", "at array<timestamp>, seq array<bigint>, type array<string>", self.idle_ms)
+        self.latest = handle.getValueState("latest", "score double, stale boolean", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["arrived_at", "seq"], kind="stable")
+        at, seq, kind = (list(x) for x in self.recent.get()) if self.recent.exists() else ([], [], [])
+        score, stale = self.latest.get() if self.latest.exists() else (None, False)
+        events = list(zip(map(pd.Timestamp, at), seq, kind, strict=True))
+        for row in new.itertuples(index=False):
+            events.append((row.arrived_at, int(row.seq), row.type))
+            if row.type == "consensus":
+                score, stale = float(row.value), bool(row.stale)
+        events.sort()
+        edge = events[-1][0] - pd.Timedelta(seconds=self.seconds)
+        events = [e for e in events if e[0] > edge]
+        self.recent.update(([e[0].to_pydatetime() for e in events], [e[1] for e in events], [e[2] for e in events]))
+        if score is not None:
+            self.latest.update((score, stale))
+        yield pd.DataFrame([(key[0], len(events), events[-1][0], score, stale, ",".join(f"{e[1]}:{e[2]}" for e in events))], columns=["meeting_id", "n_events", "last_at", "score", "stale", "events"])
+
+
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str = "Append") -> DataFrame:
+    """State that expires after a time of no rows goes by the clock; without expiry no clock is asked."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return stream.groupBy("meeting_id").transformWithStateInPandas(processor, schema, "Append", "None")
+    return stream.groupBy("meeting_id").transformWithStateInPandas(processor, schema, mode, "ProcessingTime" if processor.idle_ms else "None")
 
 
 def consensus(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -101,14 +154,55 @@ def consensus(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return _stateful(stream.select("meeting_id", "speaker_id", "seq", "vec"), ConsensusProcessor(idle_ms), SCORES)
 
 
-def vector_clocks(stream: DataFrame) -> DataFrame:
-    """meeting_id, seq and the clock after the row, as JSON with sorted keys."""
-    return _stateful(stream.select("meeting_id", "speaker_id", "seq"), CountingProcessor("speaker_id", False), "meeting_id string, seq bigint, result string")
+def vector_clocks(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """meeting_id, seq and the clock after the row, as JSON with sorted keys. A null speaker counts as the empty one."""
+    named = stream.select("meeting_id", F.coalesce("speaker_id", F.lit("")).alias("speaker_id"), "seq")
+    return _stateful(named, CountingProcessor("speaker_id", False, idle_ms), "meeting_id string, seq bigint, result string")
 
 
-def placeholders(stream: DataFrame) -> DataFrame:
+def placeholders(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """meeting_id, seq and the placeholder of the row's kind, numbered across micro-batches."""
-    return _stateful(stream.select("meeting_id", "kind", "seq"), CountingProcessor("kind", True), "meeting_id string, seq bigint, result string")
+    return _stateful(stream.select("meeting_id", "kind", "seq"), CountingProcessor("kind", True, idle_ms), "meeting_id string, seq bigint, result string")
+
+
+def sharded(stream: DataFrame, seconds: int = 10, most: int = 50, idle_ms: int | None = None) -> DataFrame:
+    """The stream's events with shard_id, as assign_shards: the parts of a time bucket go on being counted across batches."""
+    rows = stream.withColumn("shard_bucket", F.floor(F.unix_timestamp("arrived_at") / seconds))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = _stateful(rows, ShardProcessor(seconds, most, rows.columns, idle_ms), f"{schema}, shard_part bigint")
+    return out.withColumn("shard_id", S.shard_id(F.col("meeting_id"), F.col("shard_bucket"), F.col("shard_part"))).drop("shard_bucket", "shard_part")
+
+
+def hot_snapshots(stream: DataFrame, seconds: int = 60, idle_ms: int | None = None) -> DataFrame:
+    """After each batch, for every meeting in it: its events of the last seconds, its latest consensus value, whether that is stale.
+
+    The window ends at the meeting's latest arrival. Events come as seq:type in order of arrival.
+    """
+    schema = "meeting_id string, n_events bigint, last_at timestamp, score double, stale boolean, events string"
+    return _stateful(stream.select("meeting_id", "arrived_at", "seq", "type", "value", "stale"), RecentProcessor(seconds, idle_ms), schema, "Update")
+
+
+def heartbeats(spark: SparkSession, seconds: int = 15) -> DataFrame:
+    """A stream of heartbeat envelopes, one every `seconds`, numbered from 1."""
+    beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % seconds == 0)
+    return beats.select(F.lit("heartbeat").alias("type"), (F.floor(F.col("value") / seconds) + 1).alias("seq"), F.col("timestamp").alias("ts"))
+
+
+def counts(stream: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """Counters by label in tumbling windows: ts, label, n, total."""
+    w = F.window("ts", f"{minutes} minutes").alias("w")
+    return slo.counts(stream.withWatermark("ts", late).select(w, "label", "value"), "w", "label").select(F.col("w.start").alias("ts"), "label", "n", "total")
+
+
+def latencies(stream: DataFrame, minutes: int, bounds: list[float], late: str = "10 minutes") -> DataFrame:
+    """Cumulative latency histograms by label in tumbling windows: ts, label, le, n."""
+    w = F.window("ts", f"{minutes} minutes").alias("w")
+    return slo.histogram(stream.withWatermark("ts", late).select(w, "label", "value"), bounds, "w", "label").select(F.col("w.start").alias("ts"), "label", "le", "n")
+
+
+def culture_windows(stream: DataFrame, seconds: int = 30, text_col: str = "redacted_text", late: str = "1 minute") -> DataFrame:
+    """The texts of each window of a meeting, once the watermark has passed it."""
+    return embedding.culture_windows(stream.withWatermark("arrived_at", late), seconds, text_col)
 
 
 def rates(stream: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
@@ -121,24 +215,46 @@ def hot_window(stream: DataFrame, seconds: int = 60) -> DataFrame:
     return stream.where(F.col("arrived_at") > F.current_timestamp() - F.make_interval(secs=F.lit(seconds)))
 
 
-def shard_writer(path: str, dead_letters: str, seconds: int = 10, most: int = 50) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: shards of the batch are written by batch, events that can't be written go to dead letters.
+def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to its own folder, replacing what an earlier try of the batch left there."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
 
-    A batch that runs again replaces its own part, so a retry leaves no double shards.
+def shard_writer(sink: Callable[[DataFrame, int], None], dead_letters: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over sharded events: documents of shards go to the sink, or if it refuses them to dead letters.
+
+    What is wrong with the batch itself shows before the sink is asked and stops the stream. A shard that several batches
+    add to has a document in each; shard_documents over their events gives one. A batch that runs again replaces what it
+    wrote, documents and dead letters alike.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        documents = S.shard_documents(batch).persist()
+        documents.count()
         try:
-            S.shard_documents(S.assign_shards(batch, seconds, most)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            sink(documents, number)
         except Exception:
-            S.write_dead_letters(batch, dead_letters)
+            S.write_dead_letters(batch, dead_letters, number)
+        documents.unpersist()
+        batch.unpersist()
 
     return write
 
 
-def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Run a stream over all input there is, then stop."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(writer: DataStreamWriter, checkpoint: str, expiring: bool = False) -> None:
+    """Run a stream over all input there is, then stop.
+
+    expiring: its state expires by the clock. Spark would then go on with empty batches for ever, so it gets none.
+    """
+    conf = writer._df.sparkSession.conf
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    had = conf.get(key)
+    conf.set(key, str(not expiring and had == "true").lower())
+    try:
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, had)
     query.awaitTermination()
 
 

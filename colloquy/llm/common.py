@@ -16,6 +16,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+AT_ONCE = 2_000
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -51,14 +52,14 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows
 
 
 def by_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """mapInArrow with state: make() runs once a task, and its result turns each batch into columns by name."""
+    """mapInArrow with state: make() runs once a task, and its result turns each batch (AT_ONCE rows at most) into columns by name."""
     names = [part.strip().split()[0] for part in _split_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                out = step(whole.slice(at, AT_ONCE))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(*x) for x in (out[n] for n in names)], names=names)
 
     return df.mapInArrow(run, schema)

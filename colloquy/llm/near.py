@@ -110,8 +110,12 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """docs, which has _text, with _words (hash of the words in order), _size (words) and bands; no bands without words."""
+    """docs, which has _text, with _words (hash of the words in order), _size (words) and bands; no bands without words.
+
+    Where docs has _row, the text stays in there alone.
+    """
     columns = docs.columns
+    given = [c for c in columns if c != "_text" or "_row" not in columns]
 
     def make():
         from xxhash import xxh3_128_digest
@@ -127,11 +131,11 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                 sizes.append(len(words))
                 hashes.append(band_hashes(bag_minhash(shingler.of(words), bands * rows), bands, rows) if words else [])
             own = dict(zip(columns, batch.columns, strict=True))
-            return own | {"_words": (keys, pa.binary()), "_size": (sizes, pa.int64()), "bands": (hashes, pa.list_(pa.int64()))}
+            return {c: own[c] for c in given} | {"_words": (keys, pa.binary()), "_size": (sizes, pa.int64()), "bands": (hashes, pa.list_(pa.int64()))}
 
         return step
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in given)
     return by_batches(docs, make, f"{schema}, _words binary, _size long, bands array<long>")
 
 
@@ -246,10 +250,11 @@ def near_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")] if keep_row else []
     keyed = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), *row).withColumn("_n", F.monotonically_increasing_id())
     signed = saved(signatures(keyed, shingle), "signatures")
+    text = F.col("_row").getField(text_col) if keep_row else F.col("_text")
     best = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_n").alias("n")))
     reps = signed.groupBy("_words").agg(F.min("_n").alias("node"), F.first("_size").alias("size"), F.first("bands").alias("bands"), best.alias("best"), F.count("*").alias("rows"))
     reps = saved(reps, "representatives")
-    parts = saved(near_components(reps.select("node", "size", "bands"), signed.select(F.col("_n").alias("node"), "_text"), least, shingle), "classes")
+    parts = saved(near_components(reps.select("node", "size", "bands"), signed.select(F.col("_n").alias("node"), text.alias("_text")), least, shingle), "classes")
     known = saved(reps.select("_words", "node", "best", "rows").join(parts, "node", "left").withColumn("top", F.coalesce("component", "node")), "tops")
     tops = saved(known.groupBy("top").agg(F.min("best").alias("best"), F.count("*").alias("n")), "class-ids")
     words = spread_join(known.select("_words", "rows", "top", "node"), tops, ["top"], "node", "n").select("_words", "rows", "best")

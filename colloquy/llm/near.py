@@ -40,7 +40,7 @@ class Shingler:
 
     def __init__(self, size: int = SHINGLE):
         self.size = size
-        self._known = Recent(200_000)
+        self._known = Recent(60_000)
         self._factors = _mix(np.arange(1, size + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 
     def of(self, words: list[str]) -> np.ndarray:

@@ -30,7 +30,7 @@ PREFIXES = (4, 5, 6)
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts written without blanks
 LONG, SHAPE = 20, 12  # a longer word, and a longer shape, is read in windows
 IN_WINDOWS = -2  # the shape of a chunk that counts by its windows
-LEARNT = 600_000  # features learnt in a task between two turns of what it keeps
+LEARNT = 200_000  # features learnt in a task between two turns of what it keeps
 
 
 class Features:

@@ -23,7 +23,7 @@ UNCHECKED = re.compile("[^\x20-\x7e\t\n\r¡¿«»À-ɏ–—‘’“”…€]"
 CUT = re.compile(r" (?=\S)")
 BARE_SPACE = re.compile(r" [ \t\n\r]|[ ]\Z")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED, LONGEST = 200_000, 1_000
+CACHED, LONGEST = 80_000, 1_000
 
 
 def tokenizer_path(name_or_path: str) -> str:

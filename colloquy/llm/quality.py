@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Recent, by_batches, texts_of
+from colloquy.llm.common import Recent, by_batches, saved, texts_of
 
 BUCKETS = 1 << 20
 _FOLD = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1*"), r"\1")]
@@ -30,6 +30,7 @@ PREFIXES = (4, 5, 6)
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts written without blanks
 LONG, SHAPE = 20, 12  # a longer word, and a longer shape, is read in windows
 IN_WINDOWS = -2  # the shape of a chunk that counts by its windows
+DOUBT = 4.0  # rows of the mean grade that a feature has beside its own
 LEARNT = 200_000  # features learnt in a task between two turns of what it keeps
 
 
@@ -115,7 +116,7 @@ class Sample:
     grades: np.ndarray
 
 
-def informative(sample: Sample, z: float = 3.5, doubt: float = 4.0) -> np.ndarray:
+def informative(sample: Sample, z: float = 3.5, doubt: float = DOUBT) -> np.ndarray:
     """Buckets whose rows' mean grade is z standard errors off the mean, `doubt` rows of the mean grade being added to each."""
     grades = sample.grades
     n = np.bincount(sample.columns, minlength=BUCKETS)
@@ -191,8 +192,8 @@ def _lengthless(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
     """Features and grades of at most `rows` rated documents, those with the least hash of their id: one row an id.
 
-    ratings: (id_col, grade). Null ids and grades are left out; of several grades of one id the lowest counts. Only the
-    sampled documents' features come to the driver, so what comes is bounded by rows. Where an id has several texts, the
+    ratings: (id_col, grade). Null ids and grades are left out; of several grades of one id the lowest counts. Of the
+    sampled documents only the features that tell grades apart come to the driver, so what comes is bounded by rows. Where an id has several texts, the
     least of them counts.
     """
     graded = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
@@ -209,12 +210,39 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "
 
         return step
 
-    found = by_batches(texts.select("_id", "text", F.col("grade").cast("int").alias("grade")), make, "columns array<int>, values array<float>, grade int, _id long").toArrow().sort_by("_id")
+    found = saved(by_batches(texts.select("_id", "text", F.col("grade").cast("int").alias("grade")), make, "columns array<int>, values array<float>, grade int, _id long"), "rated")
+    wanted = _telling(found)
+
+    def keep():
+        kept = np.zeros(BUCKETS, bool)
+        kept[wanted] = True
+
+        def step(batch: pa.RecordBatch) -> dict:
+            rows = [(np.asarray(c, np.int32), np.asarray(v, np.float32)) for c, v in zip(batch.column(0).to_numpy(False), batch.column(1).to_numpy(False))]
+            rows = [(c[kept[c]], v[kept[c]]) for c, v in rows]
+            return {"columns": ([c for c, _ in rows], pa.list_(pa.int32())), "values": ([v for _, v in rows], pa.list_(pa.float32())), "grade": batch.column(2), "_id": batch.column(3)}
+
+        return step
+
+    found = by_batches(found, keep, "columns array<int>, values array<float>, grade int, _id long").toArrow().sort_by("_id")
     columns, values = (found.column(name).combine_chunks() for name in ("columns", "values"))
     sizes = pa.compute.list_value_length(columns).to_numpy(zero_copy_only=False).astype(np.int64)
     return Sample(columns.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), sizes, found.column("grade").to_numpy().astype(np.int64))
 
 
+def _telling(found: DataFrame, z: float = 3.4) -> np.ndarray:
+    """Buckets that `informative` can choose from the rows of found, counted in Spark: z is a little lower than its own.
+
+    A bucket's counts don't change when other buckets are left out, so the fit keeps the same ones as from whole rows.
+    """
+    mean, sd = found.agg(F.avg("grade"), F.stddev_pop("grade")).first()
+    if mean is None:
+        return np.zeros(0, np.int32)
+    counts = found.select("grade", F.explode("columns").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("grade").alias("total"))
+    off = F.abs(F.col("total") - F.col("n") * mean) >= z * max(sd, 1e-9) * F.sqrt(F.col("n") + DOUBT)
+    return counts.where(off).select("bucket").toArrow().column("bucket").to_numpy()
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """(doc_id, grade) from 0/1 marks: 0 low quality, 1 readable but toxic, 2 good."""
     good = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)

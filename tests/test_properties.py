@@ -1,12 +1,16 @@
 """Properties of clocks, scores and numbering on random inputs."""
 
+import math
 import random
 
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from colloquy.functions import clocks as K
+from colloquy.operators import embedding as M
 from colloquy.operators.numbering import numbered
 
 clocks = st.dictionaries(st.sampled_from("abcd"), st.integers(1, 5), max_size=4)
@@ -35,3 +39,16 @@ def test_numbering_across_blocks(spark):
     for k, i in rows:
         want[i] = sum(1 for a, b in rows if a == k and b <= i)
     assert {r["i"]: r["n"] for r in got} == want
+
+
+def test_hashed_vectors_against_plain_sums(spark):
+    texts = ["One two two three", "a", "", "the same words the same", "Up up UP down"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", M.hashed(F.col("text"), 16).alias("vec")).collect()
+    for text, vec in rows:
+        want = [0.0] * 16
+        for word in text.lower().split():
+            h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+            signed = h - (1 << 64) if h >> 63 else h
+            want[signed % 16] += 1.0 if (h >> 40) % 2 == 0 else -1.0
+        size = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert vec == pytest.approx([x / size for x in want])

@@ -13,6 +13,7 @@ from colloquy.llm.exact import exact_dedup
 from colloquy.llm.licences import scan_licences
 from colloquy.llm.near import near_dedup
 from colloquy.llm.packing import pack
+from colloquy.llm.prefixes import prefix_trie
 from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import scan_secrets
 from colloquy.llm.tokens import token_counts
@@ -66,8 +67,12 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan, op12_prefix_trie)}
 
 
 def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:
@@ -105,8 +110,27 @@ def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:
         FROM b JOIN h2 USING (host) LEFT JOIN best USING (page_id)"""
 
 
+_PREFIX_SQL = r"""
+    WITH t AS (SELECT conv_id, turn, sha256(strlen(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w
+               FROM (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+              lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT c.conv_id, 0 AS part, pos, k, w FROM c JOIN o ON o.conv_id = base AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, k, w FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+    l AS (SELECT c.conv_id, coalesce(list({'k': k, 'w': w} ORDER BY part, pos) FILTER (WHERE k IS NOT NULL), []) AS l FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+    p AS (SELECT conv_id, len(l) AS size, d, l[1:d] AS pre FROM l, unnest(range(0, len(l) + 1)) u(d)),
+    n AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256 FROM p GROUP BY d, pre),
+    q AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+    x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * pre[d].w ELSE 0 END AS cost FROM n LEFT JOIN q USING (d, pre)),
+    s AS (SELECT a AS d, pre[1:a] AS pre, sum(cost)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM x, unnest(range(0, d + 1)) u(a) GROUP BY ALL)
+    SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+    FROM x JOIN s USING (d, pre) LEFT JOIN n up ON up.d = x.d - 1 AND up.pre = x.pre[1:x.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_prefix_trie": _PREFIX_SQL,
         "op2_exact_dedup": """
             WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

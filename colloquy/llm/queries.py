@@ -12,6 +12,7 @@ from colloquy.llm.common import read
 from colloquy.llm.exact import exact_dedup
 from colloquy.llm.licences import scan_licences
 from colloquy.llm.near import near_dedup
+from colloquy.llm.negatives import hard_negatives
 from colloquy.llm.packing import pack
 from colloquy.llm.prefixes import prefix_trie
 from colloquy.llm.quality import grades_of, rate_quality, train_quality
@@ -71,8 +72,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan, op12_prefix_trie, op13_hard_negatives)}
 
 
 def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:
@@ -131,6 +138,15 @@ _PREFIX_SQL = r"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op12_prefix_trie": _PREFIX_SQL,
+        "op13_hard_negatives": """
+            WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q
+                       FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+                  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.q) = len(b.q) AND a <> b),
+            p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+            SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+            WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5""",
         "op2_exact_dedup": """
             WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

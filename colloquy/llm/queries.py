@@ -14,6 +14,7 @@ from colloquy.llm.licences import scan_licences
 from colloquy.llm.near import near_dedup
 from colloquy.llm.negatives import hard_negatives
 from colloquy.llm.packing import pack
+from colloquy.llm.personal import scan_personal
 from colloquy.llm.prefixes import prefix_trie
 from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import scan_secrets
@@ -68,6 +69,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_personal(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -79,7 +84,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan, op12_prefix_trie, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_exact_dedup, op3_best_fit_packing, op4_token_counts, op5_url_reputation, op6_bag_minhash, op7_bpe_trie, op8_embedding_dedup, op9_secret_scan, op10_licence_scan, op11_personal_data, op12_prefix_trie, op13_hard_negatives)}
 
 
 def _url_sql(limit: float = 0.25, z: float = 1.6448536269514722) -> str:

@@ -25,6 +25,16 @@ def nfkc(text: Column) -> Column:
     return F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text)))
 
 
+def fold(text: Column) -> Column:
+    """Lower case, character by character: the text keeps its length, so places in it are places in the original."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
+def folded(text: str) -> str:
+    """fold of one text."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").replace("Σ", "σ").lower()
+
+
 def strip_format(text: Column) -> Column:
     """Without format characters: zero-width marks, soft hyphens, byte-order marks."""
     return F.regexp_replace(text, r"\p{Cf}", "")

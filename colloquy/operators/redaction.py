@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators.numbering import numbered
-from colloquy.sources.shared import kept
+from colloquy.operators.numbering import block_of, message_order, running_sums
 
 #: Patterns. Word borders are ASCII, as the checks around them expect.
 EMAIL = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
@@ -24,9 +26,15 @@ KEYWORDS = ("password", "secret", "api_key", "apikey", "access_token", "refresh_
 SALUTATIONS = ("mr", "mrs", "ms", "dr", "prof", "he", "she", "they", "his", "her", "their")
 #: Kinds: name -> (priority, order of emission); the lower priority number wins.
 KINDS = {"EMAIL": (2, 0), "CARD": (0, 1), "IBAN": (1, 2), "MYNUMBER": (1, 3), "PHONE": (1, 4), "KEYWORD": (3, 5), "NAME": (4, 6)}
-#: Rows of seq that are numbered together, and rows of a part of a redaction map.
-BLOCK = 10_000
+#: Entries of a part of a redaction map.
+PART = 10_000
+#: Terms of a dictionary table that are held at once: some hundred megabytes in each worker.
+MOST_TERMS = 2_000_000
 SPAN = "array<struct<start:int,prio:int,emitted:int,end:int,kind:string>>"
+REDACTION = "array<struct<start:int,end:int,kind:string,n:bigint,placeholder:string,hash:string>>"
+#: EMAIL in a form that reads no character twice: a match begins where a run of its first class does, or where the last one ended.
+EMAIL_ONCE = r"(?:(?<![a-z0-9._%+\-])|\G)[a-z0-9._%+\-]++@[a-z0-9.\-]+\.[a-z]{2,}"
+LOCAL = "abcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 
 def _as(kind: str, spans: Column) -> Column:
@@ -40,7 +48,7 @@ def _if(found: Column, spans: Column) -> Column:
 
 
 def email_spans(text: Column) -> Column:
-    return _if(F.contains(text, F.lit("@")), _as("EMAIL", X.matches(F.lower(text), EMAIL)))
+    return _if(F.contains(text, F.lit("@")), _as("EMAIL", X.matches(X.fold(text), EMAIL_ONCE)))
 
 
 def card_spans(text: Column) -> Column:
@@ -73,18 +81,19 @@ def _list(terms: tuple[str, ...]) -> Column:
 
 
 def keyword_spans(text: Column, keywords: tuple[str, ...] = KEYWORDS) -> Column:
-    """Keywords come as literals of the plan: dictionaries of some thousand terms at most."""
-    return _terms("KEYWORD", F.lower(text), _list(keywords))
+    """Keywords as literals of the plan: for some thousand terms at most; with_spans takes any number."""
+    return _terms("KEYWORD", X.fold(text), _list(keywords))
 
 
 def name_spans(text: Column, names: tuple[str, ...] = NAMES, reach: int = 4) -> Column:
     """Names that stand as a word within `reach` words of a salutation or pronoun, at their first place in the text."""
-    low = F.lower(text)
+    low = X.fold(text)
     held = F.array_intersect(_list(names), X.words(low))
     line = F.concat(F.lit(" "), F.array_join(X.words(low), " "), F.lit(" "))
     greeting = "(?:" + "|".join(SALUTATIONS) + ")"
     within = rf"(?: [^ ]+){{0,{reach - 1}}} "
-    greeted = F.filter(held, lambda n: F.rlike(line, F.concat(F.lit(" "), n, F.lit(f"{within}{greeting} | {greeting}{within}"), n, F.lit(" "))))
+    quoted = lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))
+    greeted = F.filter(held, lambda n: F.rlike(line, F.concat(F.lit(" "), quoted(n), F.lit(f"{within}{greeting} | {greeting}{within}"), quoted(n), F.lit(" "))))
     return F.when(F.size(held) > 0, _terms("NAME", low, greeted)).otherwise(F.array().cast(SPAN))
 
 
@@ -126,16 +135,57 @@ def _mynumber(number: str) -> bool:
 
 
 class SpanFinder:
-    """All detectors on one text, with the results of the column functions above: (start, priority, emitted, end, kind)."""
+    """All detectors on one text, with the results of the column functions above: (start, priority, emitted, end, kind).
+
+    Dictionaries are one automaton, so a text is read once however many terms there are. Every detector is linear in a text.
+    """
 
     def __init__(self, names: tuple[str, ...], keywords: tuple[str, ...], reach: int = 4):
-        self.email, self.phone = re.compile(EMAIL), re.compile(PHONE)
+        import ahocorasick
+
+        self.domain, self.phone = re.compile(EMAIL[EMAIL.index("@") + 1 :]), re.compile(PHONE)
         self.checked = ((re.compile(CARD), "CARD", lambda t: _luhn(re.sub("[^0-9]", "", t))), (re.compile(IBAN), "IBAN", _mod97), (re.compile(MYNUMBER), "MYNUMBER", _mynumber))
-        self.keywords, self.names = keywords, names
-        self.words = re.compile(r"[ \t\n,.;]+")
-        greeting = "(?:" + "|".join(SALUTATIONS) + ")"
-        within = rf"(?: [^ ]+){{0,{reach - 1}}} "
-        self.greeted = {n: re.compile(f" {n}{within}{greeting} | {greeting}{within}{n} ") for n in names}
+        self.words, self.reach = re.compile(r"[^ \t\n,.;]+"), reach
+        self.keywords, self.names = {k for k in keywords if k}, {n for n in names if n}
+        self.terms = ahocorasick.Automaton()
+        for term in self.keywords | self.names:
+            self.terms.add_word(term, term)
+        if len(self.terms):
+            self.terms.make_automaton()
+
+    def emails(self, low: str) -> Iterator[tuple[int, int]]:
+        """Matches of EMAIL: around each @, the run before it and what the domain takes after it."""
+        done, at = 0, low.find("@")
+        while at >= 0:
+            start = done + len(low[done:at].rstrip(LOCAL))
+            m = self.domain.match(low, at + 1) if start < at else None
+            if m:
+                yield start, m.end()
+            done = m.end() if m else at + 1
+            at = low.find("@", done)
+
+    def dictionary(self, low: str) -> Iterator[tuple[str, int, int]]:
+        """Each keyword at its first place, and so each name that stands as a word within reach of a salutation or pronoun."""
+        first: dict[str, int] = {}
+        for end, term in self.terms.iter(low) if len(self.terms) else ():
+            first.setdefault(term, end + 1 - len(term))
+        if not first:
+            return
+        for term, at in first.items():
+            if term in self.keywords:
+                yield "KEYWORD", at, at + len(term)
+        if self.names.isdisjoint(first):
+            return
+        own = self.words.findall(low)
+        greeting = [i for i, w in enumerate(own) if w in SALUTATIONS]
+        near = set()
+        for i, w in enumerate(own) if greeting else ():
+            if w in self.names and w not in near:
+                g = bisect_left(greeting, i - self.reach)
+                if g < len(greeting) and greeting[g] <= i + self.reach:
+                    near.add(w)
+        for name in near:
+            yield "NAME", first[name], first[name] + len(name)
 
     def found(self, text: str) -> list[tuple[int, int, int, int, str]]:
         out = []
@@ -143,10 +193,9 @@ class SpanFinder:
         def add(kind: str, start: int, end: int) -> None:
             out.append((start, *KINDS[kind], end, kind))
 
-        low = text.lower()
-        if "@" in text:
-            for m in self.email.finditer(low):
-                add("EMAIL", *m.span())
+        low = X.folded(text)
+        for start, end in self.emails(low):
+            add("EMAIL", start, end)
         if any(c in text for c in "0123456789"):
             for pattern, kind, right in self.checked:
                 for m in pattern.finditer(text):
@@ -157,24 +206,16 @@ class SpanFinder:
                 start, end = m.span()
                 if 7 <= sum(c in digit for c in m[0]) <= 15 and not (start and text[start - 1] in digit) and not text[end : end + 1] in tuple(digit):
                     add("PHONE", start, end)
-        for term in self.keywords:
-            at = low.find(term)
-            if at >= 0:
-                add("KEYWORD", at, at + len(term))
-        own = [w for w in self.words.split(low) if w]
-        held = set(own).intersection(self.greeted)
-        if held:
-            line = f" {' '.join(own)} "
-            for n in held:
-                if self.greeted[n].search(line):
-                    at = low.find(n)
-                    add("NAME", at, at + len(n))
+        for kind, start, end in self.dictionary(low):
+            add(kind, start, end)
         return out
 
-    def resolved(self, text: str) -> list[tuple[int, int, int, int, str]]:
-        """As resolve: one pass from left to right."""
+    def resolved(self, text: str, allowed: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int, int, int, str]]:
+        """As resolve: one pass from left to right over what isn't allowed."""
         kept: list[tuple[int, int, int, int, str]] = []
         for s in sorted(self.found(text)):
+            if allowed and text[s[0] : s[3]] in allowed:
+                continue
             if not kept or s[0] >= kept[-1][3]:
                 kept.append(s)
             elif s[1] < kept[-1][1] or s[1] == kept[-1][1] and s[3] - s[0] > kept[-1][3] - kept[-1][0]:
@@ -182,79 +223,128 @@ class SpanFinder:
         return kept
 
 
-def with_spans(df: DataFrame, names: tuple[str, ...] = NAMES, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """df (text normalised) with spans: its resolved spans, linear in a text and its matches.
+def dictionary_of(terms: tuple[str, ...] | DataFrame) -> tuple[str, ...]:
+    """A dictionary as a tuple, from one or from a table (term) of at most MOST_TERMS rows; a larger one is an error."""
+    if not isinstance(terms, DataFrame):
+        return tuple(terms)
+    held = [r[0] for r in terms.select("term").where("term is not null").limit(MOST_TERMS + 1).collect()]
+    if len(held) > MOST_TERMS:
+        raise ValueError(f"a dictionary of more than {MOST_TERMS} terms doesn't fit a worker")
+    return tuple(sorted(held))
+
 
-    The detectors run as one Arrow function over whole batches: chained column functions (all_spans and resolve, which
-    give the same) read each text some twenty times.
+def with_spans(df: DataFrame, names: tuple[str, ...] | DataFrame = NAMES, keywords: tuple[str, ...] | DataFrame = KEYWORDS, allowed_col: str | None = None) -> DataFrame:
+    """df (text normalised) with spans: its resolved spans. allowed_col: an array of texts of each row that are no personal data.
+
+    The detectors run as one Arrow function, which builds the dictionaries' automaton once a task: chained column functions
+    (all_spans and resolve, which give the same) read each text some twenty times.
     """
-    names, keywords = tuple(names), tuple(keywords)
+    names, keywords = dictionary_of(names), dictionary_of(keywords)
     fields = [("start", pa.int32()), ("prio", pa.int32()), ("emitted", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]
     kind = pa.list_(pa.struct(fields))
 
     @F.arrow_udf(SPAN)
-    def spans(texts: pa.Array) -> pa.Array:
+    def spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         find = SpanFinder(names, keywords).resolved
-        return pa.array([[dict(zip(("start", "prio", "emitted", "end", "kind"), s, strict=True)) for s in find(t or "")] for t in texts.to_pylist()], kind)
+        for texts, allowed in batches:
+            rows = zip(texts.to_pylist(), allowed.to_pylist(), strict=True)
+            yield pa.array([[dict(zip(("start", "prio", "emitted", "end", "kind"), s, strict=True)) for s in find(t or "", set(a or ()))] for t, a in rows], kind)
 
-    return df.withColumn("spans", spans("text"))
+    return df.withColumn("spans", spans("text", F.col(allowed_col) if allowed_col else F.lit(None).cast("array<string>")))
 
 
-def allowed_removed(tokens: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """Tokens without those whose original text the meeting's allow-list holds, case-sensitively."""
-    return tokens.join(allowlist.select("meeting_id", F.col("token").alias("original")).distinct(), ["meeting_id", "original"], "left_anti")
+def with_dictionary(df: DataFrame, names: tuple[str, ...] | DataFrame = NAMES, keywords: tuple[str, ...] | DataFrame = KEYWORDS) -> DataFrame:
+    """df with terms: the dictionaries' spans in its text, as (start, end, kind)."""
+    names, keywords = dictionary_of(names), dictionary_of(keywords)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
+    @F.arrow_udf("array<struct<start:int,end:int,kind:string>>")
+    def terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = SpanFinder(names, keywords).dictionary
+        for texts in batches:
+            yield pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in find(X.folded(t or ""))] for t in texts.to_pylist()], kind)
 
-def tokens(df: DataFrame, allowlist: DataFrame | None = None) -> DataFrame:
-    """One row per span: meeting_id, seq, kind, start, end, original, placeholder, hash. df: with_spans' rows.
+    return df.withColumn("terms", terms("text"))
 
-    Placeholders are numbered for each meeting and kind in order of seq and place, block by block of seq, so that a
-    meeting with most of all tokens is spread over many tasks.
-    """
-    # explode would have Spark test the spans before making them, at twice the cost; explode_outer doesn't.
-    rows = df.select(F.coalesce("meeting_id", F.lit("")).alias("meeting_id"), "seq", "text", F.explode_outer("spans").alias("s")).where("s is not null")
-    rows = rows.select("meeting_id", "seq", "s.kind", "s.start", "s.end", F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("original"))
-    rows = allowed_removed(rows, allowlist) if allowlist is not None else rows
-    # The few tokens are written once, so that the detectors read every text once.
-    rows = kept(rows, "tokens")
-    rows = numbered(rows, ["meeting_id", "kind"], ["seq", "start"], F.floor(F.col("seq") / BLOCK), "_n")
-    rows = rows.withColumn("placeholder", F.concat(F.lit("["), "kind", F.lit("_"), "_n", F.lit("]"))).drop("_n")
-    return rows.withColumn("hash", X.token_hash(F.col("original"), F.col("meeting_id")))
+
+def with_allowed(df: DataFrame, allowlist: DataFrame | None) -> DataFrame:
+    """df with _allowed: the texts that the meeting's allow-list (meeting_id, token) holds, case-sensitively."""
+    if allowlist is None:
+        return df.withColumn("_allowed", F.lit(None).cast("array<string>"))
+    lists = allowlist.groupBy(F.coalesce("meeting_id", F.lit("")).alias("meeting_id")).agg(F.collect_set("token").alias("_allowed"))
+    return df.join(lists, "meeting_id", "left")
+
+
+def spliced(text: str, spans: list[tuple[int, int, str]], counts: dict[str, int], meeting: str) -> tuple[str, list[dict]]:
+    """The text with (start, end, kind) replaced, and the redactions; counts holds each kind's last number and goes on."""
+    salt = hashlib.sha256(meeting.encode()).digest()
+    out, redactions, at = [], [], 0
+    for start, end, kind in spans:
+        counts[kind] = n = counts.get(kind, 0) + 1
+        placeholder = f"[{kind}_{n}]"
+        out += [text[at:start], placeholder]
+        redactions.append({"start": start, "end": end, "kind": kind, "n": n, "placeholder": placeholder, "hash": hashlib.sha256(text[start:end].encode() + salt).hexdigest()})
+        at = end
+    return "".join([*out, text[at:]]), redactions
+
+
+def _splice(meetings: Column, texts: Column, spans: Column, before: Column) -> Column:
+    """spliced for whole batches, as a struct of text and redactions; nothing for a null text."""
+    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("n", pa.int64()), ("placeholder", pa.string()), ("hash", pa.string())])
+
+    @F.arrow_udf(f"struct<text:string,redactions:{REDACTION}>")
+    def splice(meetings: pa.Array, texts: pa.Array, spans: pa.Array, before: pa.Array) -> pa.Array:
+        out = []
+        for meeting, text, found, seen in zip(*(c.to_pylist() for c in (meetings, texts, spans, before)), strict=True):
+            new, redactions = (None, []) if text is None else spliced(text, [(s["start"], s["end"], s["kind"]) for s in found], dict(zip(KINDS, seen, strict=True)), meeting)
+            out.append({"text": new, "redactions": redactions})
+        return pa.array(out, pa.struct([("text", pa.string()), ("redactions", pa.list_(item))]))
+
+    return splice(meetings, texts, spans, before)
 
 
-def redact(df: DataFrame, allowlist: DataFrame | None = None, names: tuple[str, ...] = NAMES, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """meeting_id, speaker_id, seq and the other columns without text, with redactions and redacted_text.
+def redact(df: DataFrame, allowlist: DataFrame | None = None, names: tuple[str, ...] | DataFrame = NAMES, keywords: tuple[str, ...] | DataFrame = KEYWORDS) -> DataFrame:
+    """The rows of df, without text, with redactions and redacted_text. A null meeting counts as the empty one.
 
-    (meeting_id, seq) identifies a row; a null meeting counts as the empty one. Text without personal data takes no part in any shuffle but the last join.
+    One row in, one row out, whatever meeting, speaker and seq are: rows with nulls or with one key are rows of their own.
+    Placeholders count within meeting and kind in the order of messages (arrived_at where df has it, then seq, speaker_id and the text) and
+    of places in the text. Rows are shuffled once, by meeting and block of that order; each text is spliced where its spans
+    were found, and nothing but the result is ever written. Only where a meeting has several blocks do the detectors run a
+    second time, to count the kinds of the blocks before.
     """
-    df = with_spans(normalised(df.withColumn("meeting_id", F.coalesce("meeting_id", F.lit("")))), names, keywords)
-    found = tokens(df, allowlist)
-    item = F.struct("start", "end", "kind", "placeholder", "hash")
-    lists = found.groupBy("meeting_id", "seq").agg(F.array_sort(F.collect_list(item)).alias("redactions"))
-    out = df.join(lists, ["meeting_id", "seq"], "left")
-    out = out.withColumn("redactions", F.coalesce("redactions", F.array().cast("array<struct<start:int,end:int,kind:string,placeholder:string,hash:string>>")))
+    rows = normalised(df.withColumn("meeting_id", F.coalesce("meeting_id", F.lit(""))))
+    rows = with_spans(with_allowed(rows, allowlist), names, keywords, "_allowed").drop("_allowed")
+    order = message_order(df)
+    counts = {f"_{k}": _count(k) for k in KINDS}
+    rows = running_sums(rows.withColumn("_block", block_of(df, order)), ["meeting_id"], "_block", [*order, "text"], counts).drop("_block")
+    some = F.size("spans") > 0
+    got = _splice(F.col("meeting_id"), F.when(some, F.col("text")), F.when(some, F.col("spans")), F.array(*counts))
+    rows = rows.withColumn("_r", got).withColumns({"redactions": F.col("_r.redactions"), "redacted_text": F.coalesce("_r.text", "text")})
+    return rows.drop("text", "spans", "_r", *counts)
 
-    def splice(acc: Column, x: Column) -> Column:
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["start"] - acc["at"]), x["placeholder"]).alias("out"))
 
-    spliced = F.aggregate("redactions", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), splice, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.char_length("text"))))
-    return out.withColumn("redacted_text", spliced).drop("text", "spans")
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def redaction_map(found: DataFrame, by: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
-    """Per meeting the ordered list of placeholders with kind, hash and place."""
-    return found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "kind", "placeholder", "hash"))).alias("entries"))
+def tokens(redacted: DataFrame) -> DataFrame:
+    """One row per redaction of redact's rows: meeting_id, speaker_id, seq, start, end, kind, n, placeholder, hash. No clear text."""
+    # explode would have Spark test the redactions before making them, at twice the cost; explode_outer doesn't.
+    return redacted.select("meeting_id", "speaker_id", "seq", F.explode_outer("redactions").alias("r")).where("r is not null").select("meeting_id", "speaker_id", "seq", "r.*")
 
 
-def redaction_map_parts(found: DataFrame) -> DataFrame:
-    """The map of each meeting in numbered parts by blocks of seq, for meetings whose map is too long for one row."""
-    return redaction_map(found.withColumn("part", F.floor(F.col("seq") / BLOCK)), ("meeting_id", "part"))
+def redaction_map(found: DataFrame) -> DataFrame:
+    """meeting_id, kind, part, entries: each meeting's placeholders with hash and place, PART numbers at most in a row."""
+    part = F.floor((F.col("n") - 1) / PART).alias("part")
+    entry = F.struct("n", "speaker_id", "seq", "start", "end", "placeholder", "hash")
+    return found.groupBy("meeting_id", "kind", part).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def encrypted_map(maps: DataFrame, keys: DataFrame) -> DataFrame:
-    """meeting_id and blob: nonce, AES-256-GCM ciphertext and tag of the map's JSON, under each meeting's 32-byte key."""
-    return maps.join(keys, "meeting_id").select("meeting_id", F.aes_encrypt(F.to_json("entries"), "key", F.lit("GCM")).alias("blob"))
+    """maps with blob instead of entries: nonce, AES-256-GCM ciphertext and tag of their JSON, under each meeting's 32-byte key."""
+    return maps.join(keys.select("meeting_id", "key"), "meeting_id").select("meeting_id", "kind", "part", F.aes_encrypt(F.to_json("entries"), "key", F.lit("GCM")).alias("blob"))
 
 
 def decrypted_map(blobs: DataFrame, keys: DataFrame) -> DataFrame:
-    return blobs.join(keys, "meeting_id").select("meeting_id", F.try_aes_decrypt("blob", "key", F.lit("GCM")).cast("string").alias("entries"))
+    """entries as JSON again; null under a wrong key."""
+    return blobs.join(keys.select("meeting_id", "key"), "meeting_id").select("meeting_id", "kind", "part", F.try_aes_decrypt("blob", "key", F.lit("GCM")).cast("string").alias("entries"))

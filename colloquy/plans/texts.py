@@ -46,7 +46,7 @@ def culture_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (dict_terms, embed_texts, hashed_vectors, culture_windows, culture_tags)}
 _W = "w AS (SELECT conv_id::VARCHAR AS meeting_id, time_bucket(INTERVAL 30 seconds, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 7)) AS start, turn, text FROM conversations)"
 ORACLES = {
-    "dict_terms": r"SELECT DISTINCT term FROM (SELECT lower(regexp_replace(regexp_extract(text, '^[^\n]*'), '^\s+|\s+$', '', 'g')) AS term FROM documents WHERE doc_id % 5 <> 0) WHERE term <> '' AND NOT starts_with(term, '#')",
+    "dict_terms": r"SELECT DISTINCT term FROM (SELECT lower(regexp_replace(line, '^\s+|\s+$', '', 'g')) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE term <> '' AND NOT starts_with(term, '#')",
     "embed_texts": "SELECT conv_id::VARCHAR AS meeting_id, turn AS seq, 2 AS dim, 'checksum-2' AS embedding_model FROM conversations",
     "culture_windows": f"WITH {_W} SELECT meeting_id, start, count(*)::INT AS n, sha256(string_agg(text, '|' ORDER BY turn)) AS texts_sha FROM w GROUP BY 1, 2",
     "culture_tags": f"WITH {_W} SELECT meeting_id, start, CASE WHEN count(*) < 3 THEN 'direct' ELSE 'indirect' END AS tags, NULL::VARCHAR AS note FROM w GROUP BY 1, 2",

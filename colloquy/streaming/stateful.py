@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from colloquy.operators import embedding, slo
+from colloquy.operators import embedding, redaction, slo
 from colloquy.operators import shards as S
 from colloquy.operators.consensus import KEEP, NEW
+from colloquy.operators.numbering import message_order
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SCORES = "meeting_id string, speaker_id string, seq bigint, cos double, score double, delta double, drift double, stale boolean"
@@ -92,6 +93,38 @@ class CountingProcessor(StatefulProcessor):
         yield pd.DataFrame(out, columns=["meeting_id", "seq", "result"])
 
 
+def _fields(row) -> dict:
+    """A struct's fields by name."""
+    return row.asDict() if hasattr(row, "asDict") else dict(row)
+
+
+class RedactionProcessor(StatefulProcessor):
+    """State: the last number of each kind in the meeting. Finds, numbers and splices a row's spans in one go."""
+
+    def __init__(self, names: tuple[str, ...], keywords: tuple[str, ...], order: list[str], idle_ms: int | None = None):
+        self.names, self.keywords, self.order, self.idle_ms = names, keywords, order, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.numbers = handle.getMapState("numbers", "kind string", "n bigint", self.idle_ms)
+        self.find = redaction.SpanFinder(self.names, self.keywords).resolved
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts = {k[0]: v[0] for k, v in self.numbers.iterator()}
+        had, made = dict(counts), []
+        frame = pd.concat(list(rows))
+        for row, text, allowed in zip(map(_fields, frame["row"]), frame["text"], frame["allowed"], strict=True):
+            made.append((tuple((row[c] is not None, 0 if row[c] is None else row[c]) for c in self.order), text, row, allowed))
+        out = []
+        for _, text, row, allowed in sorted(made, key=lambda x: x[:2]):
+            spans = self.find(text, set() if allowed is None else set(allowed))
+            new, redactions = redaction.spliced(text, [(s, e, k) for s, _, _, e, k in spans], counts, key[0])
+            out.append((key[0], row, redactions, new))
+        for kind, n in counts.items():
+            if had.get(kind) != n:
+                self.numbers.updateValue((kind,), (int(n),))
+        yield pd.DataFrame(out, columns=["meeting_id", "row", "redactions", "redacted_text"])
+
+
 class ShardProcessor(StatefulProcessor):
     """State: how many events each time bucket of the meeting has had, so that parts go on being counted in later batches."""
 
@@ -165,6 +198,21 @@ def placeholders(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return _stateful(stream.select("meeting_id", "kind", "seq"), CountingProcessor("kind", True, idle_ms), "meeting_id string, seq bigint, result string")
 
 
+def redacted(stream: DataFrame, allowlist: DataFrame | None = None, names: tuple[str, ...] | DataFrame = redaction.NAMES, keywords: tuple[str, ...] | DataFrame = redaction.KEYWORDS, idle_ms: int | None = None) -> DataFrame:
+    """redact on a stream, row by row: the stream's columns without text, with redactions and redacted_text.
+
+    Numbers go on across micro-batches. Inside one, rows are taken in the order of messages, as redact takes them all.
+    allowlist is a table (meeting_id, token) and not a stream.
+    """
+    named = redaction.normalised(stream.withColumn("meeting_id", F.coalesce("meeting_id", F.lit(""))))
+    rest = [c for c in stream.columns if c not in ("meeting_id", "text")]
+    rows = redaction.with_allowed(named, allowlist).select("meeting_id", "text", F.struct(*rest).alias("row"), F.col("_allowed").alias("allowed"))
+    processor = RedactionProcessor(redaction.dictionary_of(names), redaction.dictionary_of(keywords), message_order(stream), idle_ms)
+    schema = f"meeting_id string, row {rows.schema['row'].dataType.simpleString()}, redactions {redaction.REDACTION}, redacted_text string"
+    out = _stateful(rows, processor, schema)
+    return out.select(*[F.col("meeting_id") if c == "meeting_id" else F.col(f"row.{c}") for c in stream.columns if c != "text"], "redactions", "redacted_text")
+
+
 def sharded(stream: DataFrame, seconds: int = 10, most: int = 50, idle_ms: int | None = None) -> DataFrame:
     """The stream's events with shard_id, as assign_shards: the parts of a time bucket go on being counted across batches."""
     rows = stream.withColumn("shard_bucket", F.floor(F.unix_timestamp("arrived_at") / seconds))

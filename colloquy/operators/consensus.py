@@ -1,6 +1,6 @@
 """Consensus of a meeting's speakers over time, from their embedding vectors.
 
-Rows are (meeting_id, speaker_id, seq, vec), seq giving the order in a meeting. A row is compared with the reference
+Rows are (meeting_id, speaker_id, seq, vec) and, where there is one, arrived_at. A row is compared with the reference
 vector as it stood before the row ahead of it was counted in, so the first two rows of a meeting score zero.
 """
 
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from colloquy.functions.vectors import cosine
-
-KEEP, NEW, FRAME = 0.8, 0.2, 200
+from colloquy.operators import scan
 
 
 def by_meeting() -> WindowSpec:
@@ -31,38 +30,11 @@ def with_sticky(df: DataFrame) -> DataFrame:
 
 
 def reference_vectors(df: DataFrame) -> DataFrame:
-    """df with before: the reference vector each row is compared with, and after: the one its own update leaves.
+    """meeting_id, speaker_id, seq, ord, vec, before (the reference vector a row is compared with) and after (the one it leaves).
 
-    A speaker counts from their own first row on, with no vector yet there. The mean over speakers of their last vectors is a running sum of each speaker's changes, so two window sums per
-    dimension give it without gathering a meeting in one task. Vectors of unequal length in a meeting are an error.
-    """
-    sizes = F.size("vec")
-    one = Window.partitionBy("meeting_id")
-    same = F.assert_true(F.min(sizes).over(one) == F.max(sizes).over(one), F.lit("vectors of a meeting differ in length"))
-    first = F.when(F.row_number().over(by_speaker()) == 1, 1).otherwise(0)
-    rows = df.withColumns({"_new": first, "_ok": F.coalesce(same.cast("int"), F.lit(0))})
-    until = lambda end: by_meeting().rowsBetween(Window.unboundedPreceding, end)
-    rows = rows.withColumns({"_n1": F.sum("_new").over(until(0)), "_n2": F.coalesce(F.sum("_new").over(until(-1)), F.lit(0))})
-    cells = rows.where("_ok = 0").select("meeting_id", "speaker_id", "seq", "_n1", "_n2", F.posexplode("vec").alias("dim", "x"))
-    per_speaker = Window.partitionBy("meeting_id", "speaker_id", "dim").orderBy("seq")
-    by_dim = Window.partitionBy("meeting_id", "dim").orderBy("seq")
-    cells = cells.withColumn("_d", F.col("x") - F.coalesce(F.lag("x").over(per_speaker), F.lit(0.0)))
-    total = lambda end, n: F.coalesce(F.sum("_d").over(by_dim.rowsBetween(Window.unboundedPreceding, end)), F.lit(0.0)) / F.greatest(F.col(n), F.lit(1))
-    cells = cells.withColumns({"b": total(-2, "_n2"), "a": total(-1, "_n1")})
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda s: s[c])
-    refs = cells.groupBy("meeting_id", "seq").agg(ordered("b").alias("before"), ordered("a").alias("after"))
-    return df.join(refs, ["meeting_id", "seq"])
-
-
-def with_scores(df: DataFrame) -> DataFrame:
-    """df with cos, score and delta: score is the smoothed cosine, 0.2 new and 0.8 kept, from 0.
-
-    The fold reads the last 200 rows; what lies before weighs 0.8 ** 200, below double precision.
+    A speaker counts from their own first row on, with no vector yet there. Vectors of unequal length in a meeting are an error.
     """
-    scored = reference_vectors(df).withColumn("cos", cosine("vec", "before"))
-    recent = F.collect_list("cos").over(by_meeting().rowsBetween(-(FRAME - 1), 0))
-    scored = scored.withColumn("score", F.aggregate(recent, F.lit(0.0), lambda s, x: KEEP * s + NEW * x))
-    return scored.withColumn("delta", F.col("score") - F.lag("score", 1, 0.0).over(by_meeting()))
+    return scan.with_references(df, vectors=True).select("meeting_id", "speaker_id", "seq", "ord", "vec", "before", "after")
 
 
 def with_drift(df: DataFrame) -> DataFrame:
@@ -71,8 +43,13 @@ def with_drift(df: DataFrame) -> DataFrame:
 
 
 def consensus(df: DataFrame) -> DataFrame:
-    """meeting_id, speaker_id, seq, cos, score, delta, drift, stale from rows whose vec may be null."""
-    return with_drift(with_scores(with_sticky(df))).select("meeting_id", "speaker_id", "seq", "cos", "score", "delta", "drift", "stale")
+    """meeting_id, speaker_id, seq, ord, cos, score, delta, drift, stale from rows whose vec may be null.
+
+    ord is the row's number in the meeting's order of messages (see numbering.message_order): seq alone orders only one
+    client's. Rows that have no vector and none before them go, and don't count. Null meetings and speakers count as the
+    empty ones. A meeting is spread over its blocks, see scan.
+    """
+    return scan.with_scores(scan.with_references(df)).select("meeting_id", "speaker_id", "seq", "ord", "cos", "score", "delta", "drift", "stale")
 
 
 def score_labels(df: DataFrame) -> DataFrame:
@@ -93,23 +70,22 @@ NOTES = {
 
 
 def bridge_notes(scores: DataFrame, every: int = 5) -> DataFrame:
-    """A note for every fifth row of a meeting, by the first rule that holds."""
-    n = F.row_number().over(by_meeting())
+    """A note for every fifth row of a meeting, by the first rule that holds. scores: consensus's rows."""
     tag = F.when(F.col("delta") < -0.15, "diverging").when(F.col("drift") > 0.6, "speaker-drift").when(F.col("score") > 0.7, "high-alignment").when(F.col("score") > 0.4, "converging").otherwise("early-stage")
     notes = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])
     note = F.when(F.col("tag") == "speaker-drift", F.concat("speaker_id", F.lit(NOTES["speaker-drift"]))).otherwise(F.element_at(notes, F.col("tag")))
-    return scores.withColumn("n", n).where(F.col("n") % every == 0).withColumn("tag", tag).withColumn("note", note)
+    return scores.withColumn("n", F.col("ord")).where(F.col("n") % every == 0).withColumn("tag", tag).withColumn("note", note)
 
 
 def recent_notes(notes: DataFrame, k: int = 6) -> DataFrame:
     """The latest k notes of each meeting, newest first."""
-    newest = Window.partitionBy("meeting_id").orderBy(F.col("seq").desc())
+    newest = Window.partitionBy("meeting_id").orderBy(F.col("ord").desc())
     return notes.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= k)
 
 
 def intent_nodes(texts: DataFrame, scores: DataFrame) -> DataFrame:
     """Utterances with the latest score of their speaker (0 if none), its tier, and a label of at most 58 characters."""
-    latest = scores.groupBy("meeting_id", "speaker_id").agg(F.max_by("score", "seq").alias("latest"))
+    latest = scores.groupBy("meeting_id", "speaker_id").agg(F.max_by("score", "ord").alias("latest"))
     out = texts.join(latest, ["meeting_id", "speaker_id"], "left").withColumn("latest", F.coalesce("latest", F.lit(0.0)))
     tier = F.when(F.col("latest") > 0.5, "high").when(F.col("latest") > 0, "middle").otherwise("low")
     label = F.when(F.char_length("text") > 60, F.concat(F.substring("text", 1, 57), F.lit("…"))).otherwise(F.col("text"))

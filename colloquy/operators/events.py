@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import clocks as K
 from colloquy.operators.numbering import numbered
+from colloquy.operators.scan import with_clocks  # noqa: F401
 
 MESSAGE = "type string, meeting_id string, speaker_id string, seq bigint, ts_client_ms bigint, payload string"
 
@@ -46,15 +47,6 @@ def of_type(events: DataFrame, kind: str, schema: str) -> DataFrame:
     return rows.select("meeting_id", "seq", "p.*")
 
 
-def with_clocks(df: DataFrame) -> DataFrame:
-    """df with vclock: how many rows each of the meeting's speakers has had so far, speakers not yet heard left out."""
-    people = df.select("meeting_id", F.col("speaker_id").alias("who")).distinct()
-    order = Window.partitionBy("meeting_id", "who").orderBy("seq")
-    counted = df.select("meeting_id", "speaker_id", "seq").join(people, "meeting_id").withColumn("n", F.sum((F.col("speaker_id") == F.col("who")).cast("bigint")).over(order)).where("n > 0")
-    maps = counted.groupBy("meeting_id", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("who", "n")))).alias("vclock"))
-    return df.join(maps, ["meeting_id", "seq"])
-
-
 def total_order(df: DataFrame) -> DataFrame:
     """df with rank, hash and place: by sum of counters, then arrival, then hash of the clock."""
     ranked = df.withColumns({"rank": K.rank(F.col("vclock")), "hash": K.clock_hash(F.col("vclock"))})

@@ -1,6 +1,6 @@
 """Stateful streams: consensus, vector clocks, placeholders, shards, recent windows and rates, with the results of their batch forms.
 
-Rows of a key are taken in the order of seq inside a micro-batch; across micro-batches in the order of arrival. State is
+Rows of a key are taken in the order of messages (numbering.message_order) inside a micro-batch; micro-batches as they come. State is
 kept per meeting and expires after `idle` of no rows, if given.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from colloquy.operators import embedding, redaction, slo
 from colloquy.operators import shards as S
-from colloquy.operators.consensus import KEEP, NEW
 from colloquy.operators.numbering import message_order
+from colloquy.operators.scan import KEEP, NEW
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SCORES = "meeting_id string, speaker_id string, seq bigint, cos double, score double, delta double, drift double, stale boolean"
@@ -31,7 +31,18 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values("seq", kind="stable")
+    frame = pd.concat(list(rows))
+    return frame.sort_values(message_order(frame), kind="stable", na_position="first")
+
+
+def _number(seq) -> int | None:
+    return None if pd.isna(seq) else int(seq)
+
+
+def _messages(stream: DataFrame, *columns: str) -> DataFrame:
+    """The columns with those that order messages; null meetings and speakers count as the empty ones."""
+    named = stream.withColumns({c: F.coalesce(c, F.lit("")) for c in ("meeting_id", "speaker_id") if c in stream.columns})
+    return named.select(*dict.fromkeys(["meeting_id", *message_order(stream), *columns]))
 
 
 class ConsensusProcessor(StatefulProcessor):
@@ -66,7 +77,7 @@ class ConsensusProcessor(StatefulProcessor):
             ref = total / n if len(total) else np.zeros(len(v))
             total = (total if len(total) else np.zeros(len(v))) + v - (0 if last is None else last)
             self.speaker.updateValue(who, (first.tolist(), v.tolist()))
-            out.append((key[0], row.speaker_id, row.seq, cos, score, score - before, 1 - _cosine(v, first), stale))
+            out.append((key[0], row.speaker_id, _number(row.seq), cos, score, score - before, 1 - _cosine(v, first), stale))
         self.meeting.update((float(score), ref.tolist(), total.tolist(), int(n)))
         yield pd.DataFrame(out, columns=["meeting_id", "speaker_id", "seq", "cos", "score", "delta", "drift", "stale"])
 
@@ -87,7 +98,7 @@ class CountingProcessor(StatefulProcessor):
             value = getattr(row, self.column)
             counts[value] = counts.get(value, 0) + 1
             text = f"[{value}_{counts[value]}]" if self.own else json.dumps(dict(sorted(counts.items())), ensure_ascii=False, separators=(",", ":"))
-            out.append((key[0], row.seq, text))
+            out.append((key[0], _number(row.seq), text))
         for k, n in counts.items():
             self.seen.updateValue((k,), (n,))
         yield pd.DataFrame(out, columns=["meeting_id", "seq", "result"])
@@ -184,18 +195,17 @@ def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, mode
 
 def consensus(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """meeting_id, speaker_id, seq, vec (null: no embedding) -> scores, deltas, drifts, stale marks."""
-    return _stateful(stream.select("meeting_id", "speaker_id", "seq", "vec"), ConsensusProcessor(idle_ms), SCORES)
+    return _stateful(_messages(stream, "speaker_id", "vec"), ConsensusProcessor(idle_ms), SCORES)
 
 
 def vector_clocks(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """meeting_id, seq and the clock after the row, as JSON with sorted keys. A null speaker counts as the empty one."""
-    named = stream.select("meeting_id", F.coalesce("speaker_id", F.lit("")).alias("speaker_id"), "seq")
-    return _stateful(named, CountingProcessor("speaker_id", False, idle_ms), "meeting_id string, seq bigint, result string")
+    return _stateful(_messages(stream, "speaker_id"), CountingProcessor("speaker_id", False, idle_ms), "meeting_id string, seq bigint, result string")
 
 
 def placeholders(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """meeting_id, seq and the placeholder of the row's kind, numbered across micro-batches."""
-    return _stateful(stream.select("meeting_id", "kind", "seq"), CountingProcessor("kind", True, idle_ms), "meeting_id string, seq bigint, result string")
+    return _stateful(_messages(stream, "kind"), CountingProcessor("kind", True, idle_ms), "meeting_id string, seq bigint, result string")
 
 
 def redacted(stream: DataFrame, allowlist: DataFrame | None = None, names: tuple[str, ...] | DataFrame = redaction.NAMES, keywords: tuple[str, ...] | DataFrame = redaction.KEYWORDS, idle_ms: int | None = None) -> DataFrame:

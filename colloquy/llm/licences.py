@@ -8,7 +8,9 @@ stretches before any coefficient is computed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -87,6 +89,7 @@ class Scanner:
             for x in g:
                 own[code(x)] = own.get(code(x), 0) + 1
             self.counts.append(own)
+        self.codes = [np.array(list(own), np.int64) for own in self.counts]
         self.known = np.unique(np.array([c for own in self.counts for c in own], np.int64))
         self.sizes = [len(g) for g in self.grams]
         self.fewest = min((self._bounds(b)[2] for b in self.sizes), default=0)
@@ -109,48 +112,53 @@ class Scanner:
         at, codes = at[keep], codes[keep]
         if len(at) < self.fewest:
             return []
-        out, todo = [], [(at, codes)]
-        while todo:
-            at, codes = todo.pop()
-            best = min(self._all_stretches(at, codes), key=lambda x: (-x[0], -x[1], x[2], x[3]), default=None)
-            if best:
-                dice, _, k, start, end = best
-                out.append((self.names[k], round(dice, 6), start, end))
-                # What is left on either side of the best stretch may hold others.
-                todo += [(at[side], codes[side]) for side in (at < start - 1, at >= end)]
-        return sorted(out, key=lambda x: x[2])
-
-    def _all_stretches(self, at: np.ndarray, codes: np.ndarray):
-        """Of every template and place where a stretch can begin, the best stretch: (Dice, bigrams, template, first word, word after)."""
-        if len(at) < self.fewest:
-            return
+        rows = {k: row for k, row in self._template_rows(at, codes)}
+        heap = [best for k, (pos, own, starts) in rows.items() for i in starts if (best := self._best_from(k, pos, own, i))]
+        heapify(heap)
+        taken: list[tuple[int, int, int, float]] = []  # first word, word after, template, Dice; in order
+        while heap:
+            dice, _, k, i, start, end = heappop(heap)
+            place = bisect_left(taken, (start,))
+            if place and taken[place - 1][1] > start:
+                continue
+            if place < len(taken) and taken[place][0] < end:
+                # What a better stretch took is gone: the best that ends before it may still do.
+                if taken[place][0] > start and (shorter := self._best_from(k, *rows[k][:2], i, taken[place][0] - 2)):
+                    heappush(heap, shorter)
+                continue
+            taken.insert(place, (start, end, k, -dice))
+        return [(self.names[k], round(dice, 6), start, end) for start, end, k, dice in taken]
+
+    def _template_rows(self, at: np.ndarray, codes: np.ndarray):
+        """For each template that may occur: (number, (places of its bigrams, their codes, places' numbers at which a stretch can begin))."""
         for k, (b, own) in enumerate(zip(self.sizes, self.counts, strict=True)):
-            low, high, share = self._bounds(b)
-            mine = np.fromiter((c in own for c in codes.tolist()), bool, len(codes))
+            _, high, share = self._bounds(b)
+            mine = np.isin(codes, self.codes[k])
             pos = at[mine]
             if len(pos) < share:
                 continue
             near = np.nonzero(pos[share - 1 :] - pos[: len(pos) - share + 1] < high)[0]
             if len(near):
-                yield from self._stretches(k, pos, codes[mine], near, low, high, share, own, b)
-
-    def _stretches(self, k, pos, codes, near, low, high, share, own, b):
-        """Stretches from a bigram of the template to one, each start with its best end."""
-        pos, codes = pos.tolist(), codes.tolist()
-        for i in near.tolist():
-            left, shared, best = {}, 0, None
-            for j in range(i, len(pos)):
-                w = pos[j] - pos[i] + 1
-                if w > high:
-                    break
-                c = codes[j]
-                left[c] = left.get(c, 0) + 1
-                shared += left[c] <= own[c]
+                yield k, (pos.tolist(), codes[mine].tolist(), near.tolist())
+
+    def _best_from(self, k: int, pos: list[int], codes: list[int], i: int, last: int | None = None) -> tuple[float, int, int, int, int, int] | None:
+        """The best stretch of template k from its i-th bigram on, up to bigram place `last`: (-Dice, -bigrams, k, i, first word, word after)."""
+        own, b = self.counts[k], self.sizes[k]
+        low, high, share = self._bounds(b)
+        stop = pos[i] + high - 1 if last is None else min(pos[i] + high - 1, last)
+        left, shared, best = {}, 0, None
+        for j in range(i, len(pos)):
+            if pos[j] > stop:
+                break
+            w = pos[j] - pos[i] + 1
+            c = codes[j]
+            left[c] = n = left.get(c, 0) + 1
+            shared += n <= own[c]
+            if shared >= share and w >= low:
                 dice = 2 * shared / (w + b)
-                if shared >= share and w >= low and dice >= self.least and (best is None or dice >= best[0]):
-                    best = (dice, w, k, pos[i], pos[j] + 2)
-            if best:
-                yield best
+                if dice >= self.least and (best is None or dice >= best[0]):
+                    best = (dice, w, pos[j] + 2)
+        return (-best[0], -best[1], k, i, pos[i], best[2]) if best else None
 
 
 def templates_of(table: DataFrame, name_col: str = "licence", text_col: str = "text", most: int = 10_000) -> dict[str, tuple[str, ...]]:

@@ -285,3 +285,21 @@ def test_recall_over_several_blocks(spark, monkeypatch):
     want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
     got = {r["vec_id"]: r["n_links"] for r in vectors.embedding_dedup(df).collect()}
     assert all(got[i] <= want[i] for i in range(len(x))) and sum(got.values()) >= 0.995 * want.sum() > 0
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    from colloquy.llm.licences import TEMPLATES, Scanner
+
+    scan = Scanner(TEMPLATES, 0.8).scan
+    notice = TEMPLATES["Apache-2.0"][0]
+    times = []
+    for n in (500, 2000):
+        text = " ".join(f"own words {i} {notice} more words {i}" for i in range(n))
+        began = time.process_time()
+        found = scan(text)
+        times.append(time.process_time() - began)
+        assert len(found) == n and {f[0] for f in found} == {"Apache-2.0"}
+    assert times[1] < 8 * times[0] + 1
+    print(times)

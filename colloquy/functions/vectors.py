@@ -32,3 +32,23 @@ def unit(a: Column | str, least: float = 1e-12) -> Column:
     a = _col(a)
     size = F.greatest(norm(a), F.lit(least))
     return F.transform(a, lambda x: x.cast("double") / size)
+
+
+def masked_mean(tokens: Column | str, mask: Column | str) -> Column:
+    """The mean of the token vectors whose mask isn't 0, in one pass over the nested arrays; zeros if none is, null without tokens.
+
+    Tokens and mask of unequal number, or tokens of unequal length, are an error.
+    """
+    tokens, mask = _col(tokens), _col(mask)
+    dim = F.size(F.get(tokens, F.lit(0)))
+    fits = (F.size(tokens) == F.size(mask)) & F.forall(tokens, lambda t: F.size(t) == dim)
+    zero = F.struct(F.array_repeat(F.lit(0.0), dim).alias("sum"), F.lit(0.0).alias("n"))
+
+    def add(acc: Column, x: Column) -> Column:
+        on = F.when(x["on"] != 0, 1.0).otherwise(0.0)
+        return F.struct(F.zip_with(acc["sum"], x["vec"], lambda a, b: a + on * b.cast("double")).alias("sum"), (acc["n"] + on).alias("n"))
+
+    rows = F.arrays_zip(tokens.alias("vec"), mask.alias("on"))
+    mean = F.aggregate(rows, zero, add, lambda acc: F.transform(acc["sum"], lambda a: a / F.greatest(acc["n"], F.lit(1.0))))
+    wrong = F.raise_error(F.lit("token vectors and mask don't fit")).cast("array<double>")
+    return F.when(tokens.isNull() | mask.isNull() | (F.size(tokens) == 0), F.lit(None).cast("array<double>")).when(fits, mean).otherwise(wrong)

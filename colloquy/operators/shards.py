@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.clocks import as_json
 from colloquy.operators.numbering import numbered
+from colloquy.operators.scan import in_order
 
 
 def assign_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame:
@@ -19,6 +23,78 @@ def assign_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame
     return out.withColumn("shard_id", shard_id(F.col("meeting_id"), F.col("_bucket"), F.col("_part"))).drop("_bucket", "_part")
 
 
+#: Rows of a meeting that one task walks through to find where timed shards begin.
+WALK = 4096
+
+
+def _starts(at: np.ndarray, seconds: int, most: int) -> np.ndarray:
+    """For each event (arrivals in microseconds, in order) the place of the first that a shard begun there doesn't take."""
+    return np.minimum(np.searchsorted(at, at + seconds * 1_000_000, "left"), np.arange(len(at)) + most)
+
+
+def timed_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame:
+    """df with opened_at, first and shard_id: a shard opens with an event and takes what arrives in `seconds` from then, `most` at most.
+
+    Events are in the order of messages; first is the number in its meeting of the event that opens the shard, and a null
+    arrival counts as the earliest. Where a shard opens depends on the one before, so a meeting's shards form a chain. It is walked block by block
+    of WALK events: a shard that a block begins reaches at most `most` events into the next, so what a block does is told by
+    where it is left for each of the first `most` places at which it may be entered. Only these tables of `most` numbers a block are followed
+    one after another; events never come together by meeting.
+    """
+    walk = max(WALK, 2 * most)
+    rows = in_order(df).withColumns({"_place": F.col("ord") - 1, "_at": F.coalesce(F.unix_micros("arrived_at"), F.lit(-(2**62)))})
+    block = F.floor(F.col("_place") / walk)
+    lent = (F.col("_place") % walk < most) & (block > 0)
+    rows = rows.withColumn("_block", F.explode(F.when(lent, F.array(block - 1, block)).otherwise(F.array(block))))
+
+    def leave(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("_place")
+        head, end, follow = _walk(table, walk, seconds, most)
+        out = np.arange(len(follow))
+        for i in range(end - 1, -1, -1):
+            out[i] = follow[i] - end if follow[i] >= end else out[follow[i]]
+        return pa.table({"meeting_id": [table.column("meeting_id")[0].as_py()], "_block": [head], "_exits": pa.array([out[: min(most, end)].tolist()], pa.list_(pa.int64()))})
+
+    def enter(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("_block")
+        entries = [0]
+        for exits in table.column("_exits").to_pylist()[:-1]:
+            entries.append(exits[entries[-1]])
+        return pa.table({"meeting_id": table.column("meeting_id"), "_block": table.column("_block"), "_entry": entries})
+
+    exits = rows.select("meeting_id", "_block", "_place", "_at").groupBy("meeting_id", "_block").applyInArrow(leave, "meeting_id string, _block long, _exits array<long>")
+    entries = exits.groupBy("meeting_id").applyInArrow(enter, "meeting_id string, _block long, _entry long")
+    rest = [c for c in df.columns if c != "meeting_id"]
+    schema = T.StructType([*rows.select(*df.columns).schema.fields, T.StructField("_open", T.LongType()), T.StructField("first", T.LongType())])
+    names = df.columns
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks().sort_by("_place")
+        head, end, follow = _walk(left, walk, seconds, most)
+        at, owner, i = left.column("_at").to_numpy(), np.full(len(left), -1), right.column("_entry")[0].as_py()
+        while i < end:
+            owner[i : follow[i]] = i
+            i = follow[i]
+        kept = np.nonzero(owner >= 0)[0]
+        out = left.select(names).take(pa.array(kept))
+        return out.append_column("_open", pa.array(at[owner[kept]], pa.int64())).append_column("first", pa.array(head * walk + owner[kept] + 1, pa.int64()))
+
+    keys = ["meeting_id", "_block"]
+    out = rows.select("meeting_id", *rest, "_block", "_place", "_at").groupBy(*keys).cogroup(entries.toDF(*entries.columns).groupBy(*keys)).applyInArrow(assign, schema)
+    return with_timed_id(out.withColumn("opened_at", F.when(F.col("_open") > -(2**62), F.timestamp_micros("_open"))).drop("_open"))
+
+
+def _walk(table: pa.Table, walk: int, seconds: int, most: int) -> tuple[int, int, np.ndarray]:
+    """(block, how many of its rows are its own, where a shard begun at each row ends) of a block's rows and those lent to it."""
+    place, head = table.column("_place").to_numpy(), table.column("_block")[0].as_py()
+    return head, int(np.searchsorted(place, (head + 1) * walk)), _starts(table.column("_at").to_numpy(), seconds, most)
+
+
+def with_timed_id(df: DataFrame) -> DataFrame:
+    """df with shard_id from meeting_id, opened_at and first."""
+    return df.withColumn("shard_id", shard_id(F.col("meeting_id"), F.coalesce(F.unix_timestamp("opened_at"), F.lit(0)), F.col("first")))
+
+
 def shard_id(meeting: Column, bucket: Column, part: Column) -> Column:
     suffix = F.substring(F.sha2(F.concat_ws("|", meeting, bucket, part), 256), 1, 4)
     return F.concat(bucket.cast("string"), F.lit("-"), suffix)
@@ -63,11 +139,16 @@ def finalized(shards: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def export(shards: DataFrame) -> DataFrame:
-    """Flat utterance rows of the warehouse, one for each meeting, speaker and seq, however often a shard was written."""
+    """Flat utterance rows of the warehouse, one for each meeting, speaker, seq and arrival, however often a shard was written.
+
+    utterance_id names meeting, speaker and seq, each with its own - and % escaped, so that no two rows share one by their names'
+    hyphens; nulls are empty.
+    """
     rows = shards.select("meeting_id", "shard_id", F.explode("events").alias("e")).select("meeting_id", "shard_id", "e.*")
-    key = F.concat_ws("-", "meeting_id", "speaker_id", "seq")
+    part = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("%"), F.lit("%25")), F.lit("-"), F.lit("%2D"))
+    key = F.concat(part("meeting_id"), F.lit("-"), part("speaker_id"), F.lit("-"), part("seq"))
     columns = ["meeting_id", "speaker_id", "arrived_at", "redacted_text", "intent_vec", "consensus", "consensus_delta", "cultural_tags", "vclock_json", "shard_id", "embedding_model"]
-    one = rows.withColumn("utterance_id", key).groupBy("utterance_id").agg(F.min(F.struct(*columns)).alias("r"))
+    one = rows.withColumn("utterance_id", key).groupBy("utterance_id", "arrived_at").agg(F.min(F.struct(*columns)).alias("r"))
     return one.select("utterance_id", "r.*")
 
 

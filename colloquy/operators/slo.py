@@ -124,15 +124,17 @@ ALERTS = (
 def alerts(samples: DataFrame, rules: tuple[Alert, ...] = ALERTS, bounds: list[float] | None = None) -> DataFrame:
     """name, label, from_ts, to_ts, windows of every spell in which a rule holds. samples: ts, metric, label, value.
 
-    Quantiles are those of histograms with the given bounds. Rows without a metric or time fit no rule.
+    Quantiles are those of histograms with the given bounds. Of samples at one time a gauge takes the larger. Rows without a
+    metric or time fit no rule.
     """
     out = None
     for rule in rules:
-        own = samples.where(F.col("metric") == rule.metric).withColumn("ts", F.window("ts", f"{rule.window} seconds")["start"])
+        own = samples.where((F.col("metric") == rule.metric) & F.col("ts").isNotNull()).withColumn("_at", F.col("ts"))
+        own = own.withColumn("ts", F.window("ts", f"{rule.window} seconds")["start"])
         if isinstance(rule.measure, float):
             measured = quantile(histogram(own, bounds or exponential(1.0, 2.0, 20), "ts", "label"), rule.measure, "ts", "label")
         else:
-            how = {"rate": F.sum("value") / rule.window, "gauge": F.max_by("value", "seq"), "mean": F.avg("value")}[rule.measure]
+            how = {"rate": F.sum("value") / rule.window, "gauge": F.max_by("value", F.struct("_at", "value")), "mean": F.avg("value")}[rule.measure]
             measured = own.groupBy("ts", "label").agg(how.alias("value"))
         spells = sustained(measured, F.col("value") > rule.limit, rule.window, rule.lasting, "label").select(F.lit(rule.name).alias("name"), "label", "from_ts", "to_ts", "windows")
         out = spells if out is None else out.unionByName(spells)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.vectors import cosine, norm, unit
+from colloquy.functions.vectors import cosine, masked_mean, norm, unit
 from colloquy.operators import consensus as C
-from colloquy.sources.adapters import utterances, vectors
+from colloquy.sources.adapters import table, utterances, vectors
 
 
 def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,14 @@ def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("meeting_id", "speaker_id", F.round(F.get("unit", 0), 6).alias("u0"), F.round(norm("unit"), 6).alias("u_norm"), F.round(norm("mean_vec"), 6).alias("mean_norm"))
 
 
+def pooled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as eight token vectors of eight numbers, masked by the bits of their id: every 256th has no token left."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("tokens"))
+    v = v.withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("getbit", F.col("vec_id"), i).cast("int")))
+    pooled = v.withColumn("mean", masked_mean("tokens", "mask"))
+    return pooled.select("vec_id", F.round(F.get("mean", 0), 6).alias("m0"), F.round(F.get("mean", 7), 6).alias("m7"), F.round(norm("mean"), 6).alias("m_norm"), F.round(norm(unit("mean")), 6).alias("u_norm"))
+
+
 def consensus_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("seq") * 7))
     out = s.groupBy("meeting_id", F.window("ts", "1 minute").alias("w")).agg(F.max_by("score", "seq").alias("consensus"), F.sum("delta").alias("delta"), F.count_distinct("speaker_id").alias("n_speakers_active"))
@@ -89,7 +97,7 @@ def meeting_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(means, "meeting_id").join(notes, "meeting_id", "left").select("meeting_id", "first_seq", "last_seq", "participant_count", F.round("avg_consensus", 6).alias("avg_consensus"), "dominant_tag", F.round(norm("mean_vec"), 6).alias("summary_norm"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, reference_vectors, consensus_scores, score_labels, speaker_drift, sticky_vectors, bridge_notes, recent_notes, intent_nodes, intent_edges, speaker_palette, pooled_vectors, consensus_timeseries, meeting_rollup)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, reference_vectors, consensus_scores, score_labels, speaker_drift, sticky_vectors, bridge_notes, recent_notes, intent_nodes, intent_edges, speaker_palette, pooled_vectors, pooled_tokens, consensus_timeseries, meeting_rollup)}
 
 _VEC = """v AS (SELECT label::VARCHAR AS meeting_id, (vec_id % 4)::VARCHAR AS speaker_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq, embedding::DOUBLE[] AS vec FROM embeddings),
     g AS (SELECT meeting_id, speaker_id, seq, CASE WHEN seq % 7 <> 0 THEN vec END AS vec FROM v),
@@ -134,6 +142,9 @@ ORACLES = {
     "speaker_palette": "SELECT meeting_id, speaker_id, first_seq, (row_number() OVER (PARTITION BY meeting_id ORDER BY first_seq, speaker_id) - 1) % 8 AS colour FROM (SELECT conv_id::VARCHAR AS meeting_id, role AS speaker_id, min(turn) AS first_seq FROM conversations GROUP BY ALL)",
     "pooled_vectors": f"""WITH {_VEC}, m AS (SELECT meeting_id, speaker_id, list(x ORDER BY dim) AS u FROM (SELECT meeting_id, speaker_id, dim, avg(x) AS x FROM (SELECT meeting_id, speaker_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM v) GROUP BY ALL) GROUP BY ALL)
         SELECT meeting_id, speaker_id, round(u[1] / greatest({_L2.format('u')}, 1e-12), 6) AS u0, round({_L2.format('u')} / greatest({_L2.format('u')}, 1e-12), 6) AS u_norm, round({_L2.format('u')}, 6) AS mean_norm FROM m""",
+    "pooled_tokens": f"""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        m AS (SELECT vec_id, list_transform(range(0, 8), lambda d: list_sum(list_transform(range(0, 8), lambda i: e[i * 8 + d + 1] * ((vec_id >> i) & 1))) / greatest(1, list_sum(list_transform(range(0, 8), lambda i: (vec_id >> i) & 1)))) AS u FROM t)
+        SELECT vec_id, round(u[1], 6) AS m0, round(u[8], 6) AS m7, round({_L2.format('u')}, 6) AS m_norm, round({_L2.format('u')} / greatest({_L2.format('u')}, 1e-12), 6) AS u_norm FROM m""",
     "consensus_timeseries": f"WITH {_SCORED} SELECT meeting_id, time_bucket(INTERVAL 1 minute, TIMESTAMP '2024-01-01' + to_seconds(seq * 7)) AS ts, round(arg_max(score, seq), 6) AS consensus, round(sum(delta), 6) AS delta, count(DISTINCT speaker_id) AS n_speakers_active FROM s GROUP BY 1, 2",
     "meeting_rollup": f"""WITH {_SCORED}, m AS (SELECT meeting_id, list(x ORDER BY dim) AS u FROM (SELECT meeting_id, dim, avg(x) AS x FROM (SELECT meeting_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM v) GROUP BY ALL) GROUP BY ALL),
         d AS (SELECT meeting_id, tag AS dominant_tag FROM (SELECT meeting_id, tag, row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, tag) AS r FROM (SELECT meeting_id, tag, count(*) AS n FROM bn GROUP BY ALL)) WHERE r = 1),

@@ -123,6 +123,11 @@ def ruled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("meeting_id", "shard_id", "shard_index", "write_count")
 
 
+def timed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 50 events or 10 seconds from their opening, whichever comes first."""
+    return S.timed_shards(utterances(spark, sf_dir)).select("meeting_id", "seq", "first", "opened_at", "shard_id")
+
+
 def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.shard_documents(_sharded(spark, sf_dir))
     return s.select("meeting_id", "shard_id", "start_ts", "end_ts", "write_count", F.concat_ws(",", F.transform("events", lambda e: e["seq"].cast("string"))).alias("seqs"))
@@ -223,7 +228,7 @@ def embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (decode_messages, ack_lag, validate_messages, safe_projection, events_by_type, resume_after, vector_clocks, total_order, merged_clocks, causal_pairs, event_log, envelope_seq, ring_window, meeting_snapshot, hydrated_meetings, active_meetings, sse_frames,
-              shard_documents, ruled_shards, finalized_shards, export_utterances, coerced_export, control_documents, replay_dead_letters, drop_counts, latency_histogram, latency_quantiles, event_rates, cache_hit_ratio, failure_bursts, slo_alerts, alert_rules, throttled_calls, embed_dedup)
+              shard_documents, ruled_shards, timed_shards, finalized_shards, export_utterances, coerced_export, control_documents, replay_dead_letters, drop_counts, latency_histogram, latency_quantiles, event_rates, cache_hit_ratio, failure_bursts, slo_alerts, alert_rules, throttled_calls, embed_dedup)
 }
 
 _U = "u AS (SELECT conv_id::VARCHAR AS meeting_id, role AS speaker_id, turn AS seq, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 7) AS arrived_at, text FROM conversations)"
@@ -264,6 +269,12 @@ ORACLES = {
     "active_meetings": f"WITH {_E}, m AS (SELECT max(arrived_at) AS t FROM e) SELECT DISTINCT meeting_id, meeting_id AS title, 'active' AS state FROM e, m WHERE arrived_at > t - INTERVAL 1 hour",
     "sse_frames": f"""WITH {_E} SELECT meeting_id, seq, 'id: ' || seq || chr(10) || 'event: ' || type || chr(10) || 'data: {{"type":"' || type || '","meeting_id":"' || meeting_id || '","payload":' || to_json(payload)::VARCHAR || ',"seq":' || seq || '}}' || chr(10) || chr(10) AS frame FROM e""",
     "shard_documents": f"WITH {_SH} SELECT meeting_id, shard_id, min(arrived_at) AS start_ts, max(arrived_at) AS end_ts, count(*) AS write_count, string_agg(seq::VARCHAR, ',' ORDER BY arrived_at, seq) AS seqs FROM sh GROUP BY 1, 2",
+    "timed_shards": f"""WITH RECURSIVE {_U}, k AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY arrived_at, seq, speaker_id) AS k FROM u),
+        nx AS (SELECT a.meeting_id, a.k, min(least(a.k + 50, b.k)) AS nk FROM k a JOIN (SELECT * FROM k UNION ALL SELECT DISTINCT ON (meeting_id) meeting_id, NULL, NULL, TIMESTAMP '2262-01-01', NULL, 1000000000 FROM k) b ON a.meeting_id = b.meeting_id AND b.arrived_at >= a.arrived_at + INTERVAL 10 seconds GROUP BY ALL),
+        w AS (SELECT DISTINCT meeting_id, 1::BIGINT AS k FROM k UNION ALL SELECT w.meeting_id, nk FROM w JOIN nx USING (meeting_id, k)),
+        f AS (SELECT k.meeting_id, k.seq, max(w.k) AS first FROM k JOIN w ON w.meeting_id = k.meeting_id AND w.k <= k.k GROUP BY ALL)
+        SELECT f.meeting_id, f.seq, first, o.arrived_at AS opened_at, epoch(o.arrived_at)::BIGINT || '-' || left(sha256(f.meeting_id || '|' || epoch(o.arrived_at)::BIGINT || '|' || first), 4) AS shard_id
+        FROM f JOIN k o ON o.meeting_id = f.meeting_id AND o.k = first""",
     "finalized_shards": f"WITH {_SH} SELECT meeting_id, shard_id, count(*) AS write_count FROM sh JOIN mk USING (meeting_id) GROUP BY 1, 2",
     "ruled_shards": f"""WITH {_U}, b AS (SELECT *, epoch(arrived_at)::BIGINT // 10 AS b FROM u), p AS (SELECT *, (row_number() OVER (PARTITION BY meeting_id, b ORDER BY arrived_at, speaker_id, seq) - 1) // 50 AS p FROM b),
         d AS (SELECT meeting_id, b || '-' || left(sha256(meeting_id || '|' || b || '|' || p), 4) AS shard_id, min(arrived_at) AS start_ts, count(*) AS write_count FROM p GROUP BY meeting_id, b, p)

@@ -159,38 +159,177 @@ class ShardProcessor(StatefulProcessor):
         yield frame.assign(shard_part=parts)[[*self.columns, "shard_part"]]
 
 
+class TimedShardProcessor(StatefulProcessor):
+    """State: how many events the meeting has had, and its open shard: when and with which event it opened, and its events.
+
+    A shard comes out whole, when `most` events are in it, when an event arrives `seconds` or more after it opened, or when a timer
+    set at its opening goes off; then its state is dropped.
+    """
+
+    def __init__(self, seconds: int, most: int):
+        self.seconds, self.most, self.idle_ms = seconds, most, None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n bigint")
+        self.open = handle.getValueState("open", "opened bigint, first bigint, n bigint, timer bigint")
+        self.events = handle.getListState("events", "event string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        count = self.seen.get()[0] if self.seen.exists() else 0
+        opened, first, n, timer = self.open.get() if self.open.exists() else (None, 0, 0, None)
+        new, out = [], []
+        for at, event in zip(frame["at"], frame["event"], strict=True):
+            count += 1
+            if n and (n >= self.most or at >= opened + self.seconds * 1_000_000):
+                out.append((key[0], opened, first, self._take(timer) + new))
+                n, timer, new = 0, None, []
+            if not n:
+                opened, first = int(at), count
+            n += 1
+            new.append(event)
+            if n >= self.most:
+                out.append((key[0], opened, first, self._take(timer) + new))
+                n, timer, new = 0, None, []
+        self.seen.update((count,))
+        if n:
+            if timer is None:
+                timer = timerValues.getCurrentProcessingTimeInMs() + 1000 * self.seconds
+                self.handle.registerTimer(timer)
+            self.events.appendList([(e,) for e in new])
+            self.open.update((opened, first, n, timer))
+        if out:
+            yield pd.DataFrame(out, columns=["meeting_id", "opened", "first", "events"])
+
+    def _take(self, timer: int | None) -> list[str]:
+        """The events held for the open shard, whose state goes."""
+        held = [e[0] for e in self.events.get()] if self.events.exists() else []
+        self.events.clear()
+        self.open.clear()
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        return held
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.open.exists():
+            opened, first, _, timer = self.open.get()
+            if timer == expiredTimerInfo.getExpiryTimeInMs():
+                out.append((key[0], opened, first, self._take(None)))
+        if out:
+            yield pd.DataFrame(out, columns=["meeting_id", "opened", "first", "events"])
+
+
 class RecentProcessor(StatefulProcessor):
-    """State: the meeting's events of the last seconds, and its latest consensus value. Gives the state after each batch."""
+    """State: the meeting's events of the last seconds, each gone by itself when its time is up, its latest arrival and consensus value.
+
+    Gives the state after each batch, and once more when a meeting has been quiet for so long that its events are gone.
+    """
+
+    COLUMNS = ["meeting_id", "n_events", "last_at", "score", "stale", "events"]
+
+    def __init__(self, seconds: int):
+        self.seconds, self.idle_ms = seconds, None
 
-    def __init__(self, seconds: int, idle_ms: int | None = None):
-        self.seconds, self.idle_ms = seconds, idle_ms
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "at timestamp, seq bigint, type string", 1000 * self.seconds)
+        self.latest = handle.getValueState("latest", "last_at timestamp, timer bigint, score double, stale boolean")
+
+    def _row(self, key, last, score, stale) -> pd.DataFrame:
+        events = sorted((pd.Timestamp(at), seq, kind) for at, seq, kind in (self.recent.get() if self.recent.exists() else ()))
+        events = [e for e in events if last is None or e[0] > last - pd.Timedelta(seconds=self.seconds)]
+        return pd.DataFrame([(key[0], len(events), last, score, stale, ",".join(f"{seq}:{kind}" for _, seq, kind in events))], columns=self.COLUMNS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _in_order(rows)
+        last, timer, score, stale = self.latest.get() if self.latest.exists() else (None, None, None, False)
+        for kind, value, is_stale in zip(new["type"], new["value"], new["stale"], strict=True):
+            if kind == "consensus":
+                score, stale = float(value), bool(is_stale)
+        self.recent.appendList([(at.to_pydatetime(), int(seq), kind) for at, seq, kind in zip(new["arrived_at"], new["seq"], new["type"], strict=True)])
+        last = max([*new["arrived_at"], *([pd.Timestamp(last)] if last is not None else [])])
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + 1000 * self.seconds + 1
+        self.handle.registerTimer(timer)
+        self.latest.update((last.to_pydatetime(), timer, score, stale))
+        yield self._row(key, last, score, stale)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.latest.exists():
+            return
+        last, timer, score, stale = self.latest.get()
+        if timer == expiredTimerInfo.getExpiryTimeInMs():
+            row = self._row(key, pd.Timestamp(last), score, stale)
+            self.recent.clear()
+            self.latest.clear()
+            yield row.assign(n_events=0, events="")
+
+
+class CultureProcessor(StatefulProcessor):
+    """State: when the meeting was last classified, and the answer. Within `hold` seconds of it, and on failure, the answer stands."""
+
+    def __init__(self, load: Callable[[], embedding.Classify], hold: int, idle_ms: int | None = None):
+        self.load, self.hold, self.idle_ms = load, hold, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "at array<timestamp>, seq array<bigint>, type array<string>", self.idle_ms)
-        self.latest = handle.getValueState("latest", "score double, stale boolean", self.idle_ms)
+        self.last = handle.getValueState("last", "at timestamp, tags array<string>, note string", self.idle_ms)
+        self.classify = self.load()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["arrived_at", "seq"], kind="stable")
-        at, seq, kind = (list(x) for x in self.recent.get()) if self.recent.exists() else ([], [], [])
-        score, stale = self.latest.get() if self.latest.exists() else (None, False)
-        events = list(zip(map(pd.Timestamp, at), seq, kind, strict=True))
-        for row in new.itertuples(index=False):
-            events.append((row.arrived_at, int(row.seq), row.type))
-            if row.type == "consensus":
-                score, stale = float(row.value), bool(row.stale)
-        events.sort()
-        edge = events[-1][0] - pd.Timedelta(seconds=self.seconds)
-        events = [e for e in events if e[0] > edge]
-        self.recent.update(([e[0].to_pydatetime() for e in events], [e[1] for e in events], [e[2] for e in events]))
-        if score is not None:
-            self.latest.update((score, stale))
-        yield pd.DataFrame([(key[0], len(events), events[-1][0], score, stale, ",".join(f"{e[1]}:{e[2]}" for e in events))], columns=["meeting_id", "n_events", "last_at", "score", "stale", "events"])
-
-
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str = "Append") -> DataFrame:
-    """State that expires after a time of no rows goes by the clock; without expiry no clock is asked."""
+        at, tags, note = self.last.get() if self.last.exists() else (None, [], None)
+        out = []
+        for row in pd.concat(list(rows)).sort_values("start", kind="stable").itertuples(index=False):
+            if at is None or row.start - pd.Timestamp(at) >= pd.Timedelta(seconds=self.hold):
+                got = embedding.classified(self.classify, key[0], list(row.texts), row.lang_hint)
+                at, (tags, note) = row.start, got or (list(tags), note)
+            out.append((key[0], row.start, list(tags), note))
+        self.last.update((pd.Timestamp(at).to_pydatetime(), list(tags), note))
+        yield pd.DataFrame(out, columns=["meeting_id", "start", "tags", "note"])
+
+
+class LogProcessor(StatefulProcessor):
+    """State: the last number of the meeting's log, when it last had an event, and the timer of its next heartbeat."""
+
+    COLUMNS = ["meeting_id", "type", "ts", "payload", "seq"]
+
+    def __init__(self, every: int, quiet: int):
+        self.every, self.quiet, self.idle_ms = 1000 * every, 1000 * quiet, None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getValueState("log", "n bigint, heard bigint, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, _, timer = self.log.get() if self.log.exists() else (0, 0, None)
+        frame = pd.concat(list(rows)).sort_values(["ts", "type", "payload"], kind="stable", na_position="first")
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if timer is None:
+            timer = now + self.every
+            self.handle.registerTimer(timer)
+        self.log.update((n + len(frame), now, timer))
+        yield frame.assign(seq=range(n + 1, n + len(frame) + 1))[self.COLUMNS]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.log.exists():
+            return
+        n, heard, timer = self.log.get()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        again = max(timer, now) + self.every if now - heard < self.quiet else None
+        if again is not None:
+            self.handle.registerTimer(again)
+        self.log.update((n + 1, heard, again))
+        yield pd.DataFrame([(key[0], "heartbeat", pd.Timestamp(timer, unit="ms"), None, n + 1)], columns=self.COLUMNS)
+
+
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str = "Append", timed: bool = False) -> DataFrame:
+    """State that expires after a time of no rows, and timers (timed), go by the clock; without either no clock is asked."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return stream.groupBy("meeting_id").transformWithStateInPandas(processor, schema, mode, "ProcessingTime" if processor.idle_ms else "None")
+    return stream.groupBy("meeting_id").transformWithStateInPandas(processor, schema, mode, "ProcessingTime" if processor.idle_ms or timed else "None")
 
 
 def consensus(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -231,19 +370,54 @@ def sharded(stream: DataFrame, seconds: int = 10, most: int = 50, idle_ms: int |
     return out.withColumn("shard_id", S.shard_id(F.col("meeting_id"), F.col("shard_bucket"), F.col("shard_part"))).drop("shard_bucket", "shard_part")
 
 
-def hot_snapshots(stream: DataFrame, seconds: int = 60, idle_ms: int | None = None) -> DataFrame:
+def timed_shards(stream: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame:
+    """Documents of shards as shard_documents makes them, each once and whole: by shards.timed_shards' rule, and by the clock where a meeting falls quiet.
+
+    The stream has shard_documents' columns without shard_id. On a stream whose events arrive as they are stamped the shards are those
+    of the batch form, under the same ids.
+    """
+    carried = [(F.col(c) if c in stream.columns else F.lit(None)).cast(kind).alias(c) for c, kind in S.CARRIED.items()]
+    event = F.struct("arrived_at", "seq", "speaker_id", "redacted_text", S.as_json(F.col("vclock")).alias("vclock_json"), *carried)
+    at = F.coalesce(F.unix_micros("arrived_at"), F.lit(-(2**62))).alias("at")
+    named = stream.withColumns({c: F.coalesce(c, F.lit("")) for c in ("meeting_id", "speaker_id")}).withColumn("_event", event)
+    kind = named.schema["_event"].dataType.simpleString()
+    rows = named.select("meeting_id", "arrived_at", "seq", "speaker_id", at, F.to_json("_event").alias("event"))
+    out = _stateful(rows, TimedShardProcessor(seconds, most), "meeting_id string, opened bigint, first bigint, events array<string>", timed=True)
+    out = out.select("meeting_id", "first", F.when(F.col("opened") > -(2**62), F.timestamp_micros("opened")).alias("opened_at"), F.transform("events", lambda e: F.from_json(e, kind)).alias("events"))
+    times = F.col("events.arrived_at")
+    return S.with_timed_id(out).select("meeting_id", "shard_id", F.array_min(times).alias("start_ts"), F.array_max(times).alias("end_ts"), "events", F.size("events").cast("long").alias("write_count"))
+
+
+def hot_snapshots(stream: DataFrame, seconds: int = 60) -> DataFrame:
     """After each batch, for every meeting in it: its events of the last seconds, its latest consensus value, whether that is stale.
 
-    The window ends at the meeting's latest arrival. Events come as seq:type in order of arrival.
+    The window ends at the meeting's latest arrival. Events come as seq:type in order of arrival. A meeting that falls quiet gives a last
+    row without events when the clock has taken the last of them, and its state is gone.
     """
     schema = "meeting_id string, n_events bigint, last_at timestamp, score double, stale boolean, events string"
-    return _stateful(stream.select("meeting_id", "arrived_at", "seq", "type", "value", "stale"), RecentProcessor(seconds, idle_ms), schema, "Update")
+    return _stateful(stream.select("meeting_id", "arrived_at", "seq", "type", "value", "stale"), RecentProcessor(seconds), schema, "Update", timed=True)
+
+
+def live_log(events: DataFrame, every: int = 5, quiet: int = 3600) -> DataFrame:
+    """events (type, meeting_id, ts, payload) and heartbeats as one log a meeting: meeting_id, type, ts, payload, seq.
+
+    seq counts events and heartbeats of a meeting together, 1, 2, ...; in a micro-batch events are in order of time, type and payload.
+    A meeting gets a heartbeat every `every` seconds by the clock, from its first event until it has had none for `quiet` seconds. Rows
+    without a meeting are left out.
+    """
+    rows = events.where(F.coalesce("meeting_id", F.lit("")) != "").select("meeting_id", "type", "ts", "payload")
+    return _stateful(rows, LogProcessor(every, quiet), "meeting_id string, type string, ts timestamp, payload string, seq bigint", timed=True)
 
 
-def heartbeats(spark: SparkSession, seconds: int = 15) -> DataFrame:
-    """A stream of heartbeat envelopes, one every `seconds`, numbered from 1."""
-    beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % seconds == 0)
-    return beats.select(F.lit("heartbeat").alias("type"), (F.floor(F.col("value") / seconds) + 1).alias("seq"), F.col("timestamp").alias("ts"))
+def culture(windows: DataFrame, load: Callable[[], embedding.Classify] = embedding.no_classifier, hold: int = 30, idle_ms: int | None = None) -> DataFrame:
+    """meeting_id, start, tags, note of a stream of windows (meeting_id, start, texts and, if there is one, lang_hint).
+
+    A meeting is classified at most once in `hold` seconds of its windows' starts; in between, and when the classifier fails, its last
+    answer stands.
+    """
+    hints = windows if "lang_hint" in windows.columns else windows.withColumn("lang_hint", F.lit(None).cast("string"))
+    rows = hints.select("meeting_id", "start", "texts", "lang_hint")
+    return _stateful(rows, CultureProcessor(load, hold, idle_ms), "meeting_id string, start timestamp, tags array<string>, note string")
 
 
 def counts(stream: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:

@@ -105,6 +105,23 @@ def speaker_palette(df: DataFrame, colours: int = 8) -> DataFrame:
     return first.withColumn("colour", (F.row_number().over(order) - 1) % colours)
 
 
+def meeting_rollup(messages: DataFrame, scores: DataFrame, vectors: DataFrame, windows: DataFrame) -> DataFrame:
+    """A row a meeting as the warehouse takes it: meeting_id, title, started_at, ended_at, participant_count, avg_consensus, dominant_culture, summary_vec.
+
+    messages: meeting_id, speaker_id, arrived_at; every meeting of theirs has a row. scores: consensus's rows. vectors: meeting_id, vec.
+    windows: meeting_id, tags of classified windows, of which the most frequent tag counts, the first by name where several are. title is
+    null: no message carries one. Null meetings and speakers count as the empty ones.
+    """
+    named = lambda df: df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("meeting_id", "speaker_id") if c in df.columns})
+    own = named(messages).groupBy("meeting_id").agg(F.min("arrived_at").alias("started_at"), F.max("arrived_at").alias("ended_at"), F.count_distinct("speaker_id").alias("participant_count"))
+    mean = named(scores).groupBy("meeting_id").agg(F.avg("score").alias("avg_consensus"))
+    tags = named(windows).select("meeting_id", F.explode("tags").alias("tag")).groupBy("meeting_id", "tag").agg(F.count("*").alias("n"))
+    top = tags.groupBy("meeting_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "tag"))["tag"].alias("dominant_culture"))
+    vecs = mean_vectors(named(vectors), ["meeting_id"]).withColumnRenamed("mean_vec", "summary_vec")
+    out = own.join(mean, "meeting_id", "left").join(top, "meeting_id", "left").join(vecs, "meeting_id", "left")
+    return out.select("meeting_id", F.lit(None).cast("string").alias("title"), "started_at", "ended_at", "participant_count", "avg_consensus", "dominant_culture", "summary_vec")
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vec_col: str = "vec") -> DataFrame:
     """The element-wise mean of the vectors of each key, nulls left out."""
     cells = df.select(*keys, F.posexplode(vec_col).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg("x").alias("x"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import cosine, masked_mean, norm, unit
 from colloquy.operators import consensus as C
+from colloquy.operators import embedding as M
 from colloquy.sources.adapters import table, utterances, vectors
 
 
@@ -90,11 +91,13 @@ def consensus_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meeting_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scores(spark, sf_dir)
-    means = C.mean_vectors(vectors(spark, sf_dir), ["meeting_id"])
-    notes = C.bridge_notes(s).groupBy("meeting_id", "tag").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.col("n").desc(), "tag"))).where("r = 1").select("meeting_id", F.col("tag").alias("dominant_tag"))
-    out = s.groupBy("meeting_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_distinct("speaker_id").alias("participant_count"), F.avg("score").alias("avg_consensus"))
-    return out.join(means, "meeting_id").join(notes, "meeting_id", "left").select("meeting_id", "first_seq", "last_seq", "participant_count", F.round("avg_consensus", 6).alias("avg_consensus"), "dominant_tag", F.round(norm("mean_vec"), 6).alias("summary_norm"))
+    """Meetings of vectors, a message every seven seconds; conversations of one number modulo ten are a meeting's texts."""
+    v = vectors(spark, sf_dir).withColumn("arrived_at", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("seq") * 7))
+    texts = utterances(spark, sf_dir).withColumn("meeting_id", F.pmod(F.col("meeting_id").cast("long"), F.lit(10)).cast("string"))
+    windows = M.culture(M.culture_windows(texts, text_col="text"), lambda: lambda meeting, texts, hint: (["direct" if len(texts) < 3 else "indirect", "flat" if len(texts) % 2 else "formal"], None))
+    out = C.meeting_rollup(v, _scores(spark, sf_dir), v, windows)
+    four = F.transform("summary_vec", lambda x: x.cast("decimal(12,4)").cast("string"))
+    return out.withColumns({"avg_consensus": F.round("avg_consensus", 6), "summary_vec": F.array_join(four, ",")})
 
 
 QUERIES = {f.__name__: f for f in (cosine_pairs, reference_vectors, consensus_scores, score_labels, speaker_drift, sticky_vectors, bridge_notes, recent_notes, intent_nodes, intent_edges, speaker_palette, pooled_vectors, pooled_tokens, consensus_timeseries, meeting_rollup)}
@@ -146,8 +149,11 @@ ORACLES = {
         m AS (SELECT vec_id, list_transform(range(0, 8), lambda d: list_sum(list_transform(range(0, 8), lambda i: e[i * 8 + d + 1] * ((vec_id >> i) & 1))) / greatest(1, list_sum(list_transform(range(0, 8), lambda i: (vec_id >> i) & 1)))) AS u FROM t)
         SELECT vec_id, round(u[1], 6) AS m0, round(u[8], 6) AS m7, round({_L2.format('u')}, 6) AS m_norm, round({_L2.format('u')} / greatest({_L2.format('u')}, 1e-12), 6) AS u_norm FROM m""",
     "consensus_timeseries": f"WITH {_SCORED} SELECT meeting_id, time_bucket(INTERVAL 1 minute, TIMESTAMP '2024-01-01' + to_seconds(seq * 7)) AS ts, round(arg_max(score, seq), 6) AS consensus, round(sum(delta), 6) AS delta, count(DISTINCT speaker_id) AS n_speakers_active FROM s GROUP BY 1, 2",
-    "meeting_rollup": f"""WITH {_SCORED}, m AS (SELECT meeting_id, list(x ORDER BY dim) AS u FROM (SELECT meeting_id, dim, avg(x) AS x FROM (SELECT meeting_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM v) GROUP BY ALL) GROUP BY ALL),
-        d AS (SELECT meeting_id, tag AS dominant_tag FROM (SELECT meeting_id, tag, row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, tag) AS r FROM (SELECT meeting_id, tag, count(*) AS n FROM bn GROUP BY ALL)) WHERE r = 1),
-        a AS (SELECT meeting_id, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT speaker_id) AS participant_count, round(avg(score), 6) AS avg_consensus FROM s GROUP BY 1)
-        SELECT a.*, dominant_tag, round({_L2.format('u')}, 6) AS summary_norm FROM a JOIN m USING (meeting_id) LEFT JOIN d USING (meeting_id)""",
+    "meeting_rollup": f"""WITH {_SCORED}, m AS (SELECT meeting_id, string_agg(x::DECIMAL(12, 4)::VARCHAR, ',' ORDER BY dim) AS summary_vec FROM (SELECT meeting_id, dim, avg(x) AS x FROM (SELECT meeting_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM v) GROUP BY ALL) GROUP BY ALL),
+        w AS (SELECT (conv_id % 10)::VARCHAR AS meeting_id, count(*) AS n FROM conversations GROUP BY 1, time_bucket(INTERVAL 30 seconds, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 7))),
+        tg AS (SELECT meeting_id, CASE WHEN n < 3 THEN 'direct' ELSE 'indirect' END AS tag FROM w UNION ALL SELECT meeting_id, CASE WHEN n % 2 = 1 THEN 'flat' ELSE 'formal' END FROM w),
+        d AS (SELECT meeting_id, tag AS dominant_culture FROM (SELECT meeting_id, tag, row_number() OVER (PARTITION BY meeting_id ORDER BY count(*) DESC, tag) AS r FROM tg GROUP BY meeting_id, tag) WHERE r = 1),
+        bg AS (SELECT meeting_id, TIMESTAMP '2024-01-01' + to_seconds(min(seq) * 7) AS started_at, TIMESTAMP '2024-01-01' + to_seconds(max(seq) * 7) AS ended_at, count(DISTINCT speaker_id) AS participant_count FROM v GROUP BY 1),
+        av AS (SELECT meeting_id, round(avg(score), 6) AS avg_consensus FROM s GROUP BY 1)
+        SELECT bg.meeting_id, NULL::VARCHAR AS title, started_at, ended_at, participant_count, avg_consensus, dominant_culture, summary_vec FROM bg LEFT JOIN av USING (meeting_id) LEFT JOIN d USING (meeting_id) LEFT JOIN m USING (meeting_id)""",
 }

@@ -180,7 +180,9 @@ BOUNDS = slo.exponential(1.0, 2.0, 12)
 
 
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slo.histogram(_metrics(spark, sf_dir), BOUNDS, "label").where("le < double('infinity')")
+    """Bounds as text, the last of them +Inf."""
+    h = slo.histogram(_metrics(spark, sf_dir), BOUNDS, "label")
+    return h.withColumn("le", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("bigint").cast("string")))
 
 
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +289,7 @@ ORACLES = {
     "export_utterances": f"WITH {_SH}, j AS (SELECT meeting_id, seq, {_JSON} AS vclock_json FROM cl GROUP BY 1, 2) SELECT meeting_id || '-' || speaker_id || '-' || seq AS utterance_id, meeting_id, speaker_id, arrived_at, text AS redacted_text, length(text) || ',' || seq AS intent_vec, CASE WHEN seq % 3 <> 0 THEN seq / 8.0::DOUBLE END AS consensus, CASE WHEN seq % 3 <> 0 THEN seq / 16.0::DOUBLE END AS consensus_delta, speaker_id AS cultural_tags, vclock_json, shard_id, 'lengths' AS embedding_model FROM sh JOIN mk USING (meeting_id) JOIN j USING (meeting_id, seq)",
     "replay_dead_letters": f"WITH {_U} SELECT meeting_id, seq, arrived_at AS ts, speaker_id, text FROM u WHERE seq % 4 <> 3",
     "drop_counts": f"WITH {_E} SELECT type AS label, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY 1",
-    "latency_histogram": f"WITH {_H} SELECT label, le, n FROM h",
+    "latency_histogram": f"WITH {_H} SELECT label, CASE WHEN isinf(le) THEN '+Inf' ELSE le::BIGINT::VARCHAR END AS le, n FROM hi",
     "latency_quantiles": f"""WITH {_H}, r AS (SELECT label, le, n, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(n) OVER w, 0) AS below, max(n) OVER (PARTITION BY label) AS total FROM hi WINDOW w AS (PARTITION BY label ORDER BY le)),
         c AS (SELECT label, q, le, CASE WHEN le = 'inf'::DOUBLE THEN lo ELSE lo + (le - lo) * (total * q - below) / nullif(n - below, 0) END AS v FROM r, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) k(q) WHERE n >= total * q AND total > 0 AND (below < total * q OR below = 0))
         SELECT label, q, round(arg_min(v, le), 6) AS value FROM c GROUP BY 1, 2""",

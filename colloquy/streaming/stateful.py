@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.utils import AnalysisException
 
 from colloquy.operators import embedding, redaction, slo
 from colloquy.operators import shards as S
@@ -447,6 +448,10 @@ def hot_window(stream: DataFrame, seconds: int = 60) -> DataFrame:
     return stream.where(F.col("arrived_at") > F.current_timestamp() - F.make_interval(secs=F.lit(seconds)))
 
 
+#: What a sink's own faulty code raises.
+MISTAKES = (TypeError, NameError, AttributeError, LookupError, AssertionError, AnalysisException)
+
+
 def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that writes each batch to its own folder, replacing what an earlier try of the batch left there."""
     return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -455,7 +460,8 @@ def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
 def shard_writer(sink: Callable[[DataFrame, int], None], dead_letters: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over sharded events: documents of shards go to the sink, or if it refuses them to dead letters.
 
-    What is wrong with the batch itself shows before the sink is asked and stops the stream. A shard that several batches
+    What is wrong with the batch itself shows before the sink is asked and stops the stream, and so does a mistake in the sink's own
+    code (MISTAKES); anything else it raises is a refusal. A shard that several batches
     add to has a document in each; shard_documents over their events gives one. A batch that runs again replaces what it
     wrote, documents and dead letters alike.
     """
@@ -466,6 +472,8 @@ def shard_writer(sink: Callable[[DataFrame, int], None], dead_letters: str) -> C
         documents.count()
         try:
             sink(documents, number)
+        except MISTAKES:
+            raise
         except Exception:
             S.write_dead_letters(batch, dead_letters, number)
         documents.unpersist()

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from colloquy.plans import consensus, events, redaction, texts
+from colloquy.plans import consensus, events, redaction, streams, texts
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for plan in (consensus, events, redaction, texts) for n in plan.QUERIES if n in plan.ORACLES]
+NAMES = [n for plan in (consensus, events, redaction, streams, texts) for n in plan.QUERIES if n in plan.ORACLES]
 
 
 @pytest.fixture(scope="module")

@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -26,8 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("pass", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
-SHORTEST = 20  # characters of a token that the tests are given: below that they can't tell keys from words
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
+SHORTEST = 20  # default least characters of a token that the tests are given: below that they can't tell keys from words
 ORDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 ENCODINGS = (  # name, alphabet; the first that holds a token is its encoding
     ("hex", "0123456789abcdef"),
@@ -38,7 +38,7 @@ ENCODINGS = (  # name, alphabet; the first that holds a token is its encoding
     ("base64", ORDER),
     ("base64url", ORDER[:62] + "-_"),
 )
-CLASSES = (SHORTEST, 32, 48, 96)  # least length of each length class
+CLASSES = (0, 32, 48, 96)  # least length of each length class
 EDGES = (0.0, 1e-6, 1e-4, 1e-3, 1e-2, *(x / 20 for x in range(1, 20)))  # bins of p
 _TABLES = []
 for _name, _alphabet in ENCODINGS:
@@ -97,17 +97,22 @@ def battery(token: str) -> tuple[int, float] | None:
     return e, math.exp(-s) * (1 + s + s * s / 2)
 
 
-def tokens(text: str) -> list[tuple[int, int, int, float]]:
-    """(start, end, stratum, p) of the encoded-looking tokens. A stratum is an encoding and a length class."""
+@lru_cache(maxsize=8)
+def _runs(shortest: int) -> re.Pattern:
+    return re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % shortest)
+
+
+def tokens(text: str, shortest: int = SHORTEST) -> list[tuple[int, int, int, float]]:
+    """(start, end, stratum, p) of the encoded-looking tokens, padding aside of `shortest` characters or more. A stratum is an encoding and a length class."""
     out = []
-    for m in TOKEN.finditer(text):
+    for m in _runs(shortest).finditer(text):
         got = battery(m[0])
         if got:
             out.append((m.start(), m.end(), got[0] * len(CLASSES) + sum(m.end() - m.start() >= c for c in CLASSES) - 1, got[1]))
     return out
 
 
-def p_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def p_histogram(docs: DataFrame, text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """(stratum, bin, n): distinct tokens of all documents by stratum and bin of p. At most 28 strata of 24 bins.
 
     A token counts once, however often it occurs: copies say nothing more about how p is spread. Tokens are known by a
@@ -116,7 +121,7 @@ def p_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            seen = {t[a:b]: (stratum, p) for t in texts_of(batch.column(0)) for a, b, stratum, p in tokens(t)}
+            seen = {t[a:b]: (stratum, p) for t in texts_of(batch.column(0)) for a, b, stratum, p in tokens(t, shortest)}
             own = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in seen]
             at = np.searchsorted(EDGES, [p for _, p in seen.values()], "right") - 1
             return {"token": (own, pa.int64()), "length": (list(map(len, seen)), pa.int64()), "stratum": ([x for x, _ in seen.values()], pa.int64()), "bin": (at, pa.int64())}
@@ -128,21 +133,22 @@ def p_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return once.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, prior: float = 30) -> dict[int, float]:
+def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, prior: float = 30, above: float = 0.25) -> dict[int, float]:
     """For each stratum the smallest p to take so that the estimated false-discovery rate is at most rate.
 
-    Random tokens have uniform p, so twice those above a half estimates their number. Each length class is shrunk towards
+    Random tokens have uniform p, so those with a p of at least `above`, an edge of EDGES, over the share 1 - above estimate their number
+    (Storey's estimate; a lower `above` counts more of them, so that chance shifts it less, and more of what isn't random). Each length class is shrunk towards
     its encoding's tokens of all lengths, which count as `prior` tokens more.
     """
     count = np.zeros((len(ENCODINGS), len(CLASSES), len(EDGES)))
     for stratum, b, n in histogram:
         count[stratum // len(CLASSES), stratum % len(CLASSES), b] = n
-    half, out = EDGES.index(0.5), {}
+    tail, out = EDGES.index(above), {}
     for e in range(len(ENCODINGS)):
         pooled = count[e].sum(axis=0)
         for c in range(len(CLASSES)):
             own = count[e, c] + prior * pooled / max(pooled.sum(), 1)
-            random = min(2 * own[half:].sum(), own.sum())
+            random = min(own[tail:].sum() / (1 - above), own.sum())
             for j in range(1, len(EDGES)):
                 taken = own[j:].sum()
                 if taken and 1 - random * (1 - EDGES[j]) / taken <= rate:
@@ -151,12 +157,12 @@ def thresholds(histogram: list[tuple[int, int, int]], rate: float = 0.1, prior:
     return out
 
 
-def all_spans(text: str, least: dict[int, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def all_spans(text: str, least: dict[int, float], shortest: int = SHORTEST) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, base and added spans) as (start, kind, end). A token inside a base span isn't added again."""
     base = base_spans(text)
     starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     more = []
-    for s, e, stratum, p in tokens(text):
+    for s, e, stratum, p in tokens(text, shortest):
         before = bisect_right(starts, s)  # a base span holds the token if one that starts no later reaches its end
         if p >= least.get(stratum, 2.0) and not (before and reach[before - 1] >= e):
             more.append((s, 3, e))
@@ -167,24 +173,24 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def learn_thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> dict[int, float]:
+def learn_thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.1, shortest: int = SHORTEST) -> dict[int, float]:
     """Thresholds from all texts; what comes to the driver is the histogram, bounded by strata and bins."""
-    return thresholds([tuple(r) for r in p_histogram(docs, text_col).collect()], rate)
+    return thresholds([tuple(r) for r in p_histogram(docs, text_col, shortest).collect()], rate)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, shortest: int = SHORTEST) -> DataFrame:
     """Every row's secrets: id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end", comma-joined, code points).
 
     Null counts as empty: counts of 0 and empty spans. Repeated rows and null ids give rows as they come, an empty table
     none; other columns take no part and texts may be of any length. Spans are ordered by start, then kind, then end.
-    The battery is given runs of SHORTEST characters or more of A-Z a-z 0-9 + / _ - that hold a letter and a digit: what
+    The battery is given runs of `shortest` characters or more of A-Z a-z 0-9 + / _ - that hold a letter and a digit: what
     is shorter, or of letters or digits alone, is a secret only if a base pattern says so.
     """
-    least = learn_thresholds(docs, text_col, rate)
+    least = learn_thresholds(docs, text_col, rate, shortest)
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            got = [all_spans(t, least) for t in texts_of(batch.column(1))]
+            got = [all_spans(t, least, shortest) for t in texts_of(batch.column(1))]
             cols = {f"n_{KINDS[k]}": ([sum(x[1] == k for x in base) for base, _ in got], pa.int64()) for k in range(3)}
             cols["base_sha256"] = ([hashlib.sha256(_shown(base).encode()).hexdigest() for base, _ in got], pa.string())
             return cols | {"_id": batch.column(0), "spans": ([_shown(both) for _, both in got], pa.string())}
@@ -205,14 +211,14 @@ def mask(text: str, spans: list[tuple[int, int, int]], by: str = "[SECRET]") ->
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.1, shortest: int = SHORTEST) -> DataFrame:
     """docs with the same rows and columns, secrets in the text replaced by [SECRET]. Null texts stay null."""
-    least = learn_thresholds(docs, text_col, rate)
+    least = learn_thresholds(docs, text_col, rate, shortest)
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
 
     def masked(text: str | None) -> str | None:
-        spans = all_spans(text, least)[1] if text else []
+        spans = all_spans(text, least, shortest)[1] if text else []
         return mask(text, spans) if spans else text
 
     def make():

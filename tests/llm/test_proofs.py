@@ -1,5 +1,6 @@
 """The operators against plain references: an optimiser, brute force, planted keys, an exact quantile."""
 
+import collections
 import math
 import random
 import re
@@ -103,7 +104,27 @@ def test_planted_keys_are_found_and_few_others(spark):
             if kind == "random":
                 found = text[r["doc_id"]][int(s) : int(e)]
                 hit, false = hit + (found in keys), false + (found not in keys)
-    assert hit >= 0.8 * len(keys) and false <= 0.12 * (hit + false), (hit, false)
+    assert hit >= 0.9 * len(keys) and false <= 0.1 * (hit + false), (hit, false)
+
+
+def test_keys_are_found_whatever_the_draw():
+    """Ten draws of 300 keys and 1,200 look-alikes: nine keys in ten are found, and one in ten of what is found is none, as set."""
+    words = ["get", "user", "Order", "list", "Config", "handler", "build", "Index", "page2", "v1", "table", "Parser", "2024", "cache", "Http", "x86"]
+    hits, false = 0, 0
+    for seed in range(20, 30):
+        rng = random.Random(seed)
+        keys = {"".join(rng.choice(LETTERS) for _ in range(rng.choice([24, 32, 40, 64]))) for _ in range(300)}
+        plain = {"".join(rng.choice(words) for _ in range(rng.randint(6, 9))) + str(rng.randint(0, 9)) for _ in range(1200)}
+        got = {t: found[0][2:] for t in keys | plain if (found := secret_scan.tokens(t))}
+        count = collections.Counter((stratum, int(np.searchsorted(secret_scan.EDGES, p, "right")) - 1) for stratum, p in got.values())
+        least = secret_scan.thresholds([(*k, n) for k, n in count.items()])
+        taken = {t for t, (stratum, p) in got.items() if p >= least.get(stratum, 2)}
+        hits, false = hits + len(taken & keys), false + len(taken & plain)
+    assert hits >= 0.89 * 3000 and false <= 0.1 * (hits + false), (hits, false)
+
+
+def test_the_shortest_token_is_a_parameter():
+    assert not secret_scan.tokens("key Zq8Xv2Lr9TmK end") and len(secret_scan.tokens("key Zq8Xv2Lr9TmK end", 12)) == 1
 
 
 def test_thresholds_change_smoothly_with_counts():

@@ -89,9 +89,10 @@ class Scanner:
             for x in g:
                 own[code(x)] = own.get(code(x), 0) + 1
             self.counts.append(own)
-        self.codes = [np.array(list(own), np.int64) for own in self.counts]
         self.known = np.unique(np.array([c for own in self.counts for c in own], np.int64))
+        self.member = np.array([np.isin(self.known, list(own)) for own in self.counts]).reshape(len(self.counts), len(self.known))
         self.sizes = [len(g) for g in self.grams]
+        self.shares = np.array([self._bounds(b)[2] for b in self.sizes])
         self.fewest = min((self._bounds(b)[2] for b in self.sizes), default=0)
 
     def _bounds(self, b: int) -> tuple[int, int, int]:
@@ -108,11 +109,12 @@ class Scanner:
         both = (ids[1:] >= 0) & (ids[:-1] >= 0)
         at = np.nonzero(both)[0]
         codes = ids[at] * self.base + ids[at + 1]
-        keep = self.known[np.searchsorted(self.known[:-1], codes)] == codes
-        at, codes = at[keep], codes[keep]
+        which = np.searchsorted(self.known[:-1], codes)
+        keep = self.known[which] == codes
+        at, codes, which = at[keep], codes[keep], which[keep]
         if len(at) < self.fewest:
             return []
-        rows = {k: row for k, row in self._template_rows(at, codes)}
+        rows = {k: row for k, row in self._template_rows(at, codes, which)}
         heap = [best for k, (pos, own, starts) in rows.items() for i in starts if (best := self._best_from(k, pos, own, i))]
         heapify(heap)
         taken: list[tuple[int, int, int, float]] = []  # first word, word after, template, Dice; in order
@@ -129,14 +131,13 @@ class Scanner:
             taken.insert(place, (start, end, k, -dice))
         return [(self.names[k], round(dice, 6), start, end) for start, end, k, dice in taken]
 
-    def _template_rows(self, at: np.ndarray, codes: np.ndarray):
+    def _template_rows(self, at: np.ndarray, codes: np.ndarray, which: np.ndarray):
         """For each template that may occur: (number, (places of its bigrams, their codes, places' numbers at which a stretch can begin))."""
-        for k, (b, own) in enumerate(zip(self.sizes, self.counts, strict=True)):
-            _, high, share = self._bounds(b)
-            mine = np.isin(codes, self.codes[k])
+        held = self.member @ np.bincount(which, minlength=len(self.known))  # of each template's bigrams, how many the text has
+        for k in np.nonzero(held >= self.shares)[0].tolist():
+            _, high, share = self._bounds(self.sizes[k])
+            mine = self.member[k, which]
             pos = at[mine]
-            if len(pos) < share:
-                continue
             near = np.nonzero(pos[share - 1 :] - pos[: len(pos) - share + 1] < high)[0]
             if len(near):
                 yield k, (pos.tolist(), codes[mine].tolist(), near.tolist())

@@ -108,12 +108,12 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, lines: int = LINES
     grp = vectors.schema["grp"].dataType.simpleString()
     placed = saved(usable.mapInArrow(project, f"id long, grp {grp}, vec array<double>, dim int, cell long, at array<float>"), "projected")
     cell = ["grp", "dim", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows"))
     order = Window.partitionBy("grp", "dim").orderBy("cell")
     next_is = F.lead("cell").over(order) == F.col("cell") + 1
     before_is = F.lag("cell").over(order) == F.col("cell") - 1
     sizes = sizes.withColumns({"after": F.coalesce(F.when(next_is, F.lead("blocks").over(order)), F.lit(0)), "before": F.coalesce(F.when(before_is, F.lag("blocks").over(order)), F.lit(0))})
-    own = placed.join(sizes, cell).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = spread_join(placed, saved(sizes, "cells"), cell, "id", "rows").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meet = lambda kind, c, p, q, s: F.struct(F.lit(kind).alias("kind"), c.alias("c"), p.alias("p"), q.alias("q"), F.lit(s).alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     b, c = F.col("b"), F.col("cell")

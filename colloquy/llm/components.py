@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import saved, spread_join
+from colloquy.llm.common import saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,9 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         seen = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         seen = edges
-    least = saved(seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least-known")
-    # A hub's rows are dealt over many tasks.
-    joined = spread_join(seen, least, ["u"], "v", "n")
+    least = seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    joined = seen.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -28,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (u long, v long), in any direction, loops and repeats allowed -> (node, component), the least node of each component.
 
     Nodes without an edge to another node are not returned. Null ends are dropped. Every round is an aggregation with
-    map-side combine and a join dealt by hot nodes, so a hub with very many neighbours is never gathered in one task. Rounds go on until one
+    map-side combine and a join whose result is shuffled anew, so adaptive execution may split the
+    partition that holds a hub with very many neighbours: it is never gathered in one task. Rounds go on until one
     changes nothing; their number grows with the logarithm of the nodes. Each round's table replaces the one before.
     """
     now = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -38,8 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if not before["n"]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
-        large = saved(_star(now, True), "edges", instead_of=now)
-        now = saved(_star(large, False), "edges", instead_of=large)
+        now = saved(_star(_star(now, True), False), "edges", instead_of=now)
         after = mark(now)
         if after == before:
             roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.clocks import as_json
 from colloquy.operators.numbering import numbered
-from colloquy.operators.scan import in_order
+from colloquy.operators.scan import in_order, in_utc
 
 
 def assign_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame:
@@ -76,7 +76,7 @@ def timed_shards(df: DataFrame, seconds: int = 10, most: int = 50) -> DataFrame:
             owner[i : follow[i]] = i
             i = follow[i]
         kept = np.nonzero(owner >= 0)[0]
-        out = left.select(names).take(pa.array(kept))
+        out = in_utc(left.select(names).take(pa.array(kept)))
         return out.append_column("_open", pa.array(at[owner[kept]], pa.int64())).append_column("first", pa.array(head * walk + owner[kept] + 1, pa.int64()))
 
     keys = ["meeting_id", "_block"]

@@ -324,7 +324,7 @@ class LogProcessor(StatefulProcessor):
         if again is not None:
             self.handle.registerTimer(again)
         self.log.update((n + 1, heard, again))
-        yield pd.DataFrame([(key[0], "heartbeat", pd.Timestamp(timer, unit="ms"), None, n + 1)], columns=self.COLUMNS)
+        yield pd.DataFrame([(key[0], "heartbeat", 1000 * timer, None, n + 1)], columns=self.COLUMNS)
 
 
 def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str = "Append", timed: bool = False) -> DataFrame:
@@ -406,8 +406,9 @@ def live_log(events: DataFrame, every: int = 5, quiet: int = 3600) -> DataFrame:
     A meeting gets a heartbeat every `every` seconds by the clock, from its first event until it has had none for `quiet` seconds. Rows
     without a meeting are left out.
     """
-    rows = events.where(F.coalesce("meeting_id", F.lit("")) != "").select("meeting_id", "type", "ts", "payload")
-    return _stateful(rows, LogProcessor(every, quiet), "meeting_id string, type string, ts timestamp, payload string, seq bigint", timed=True)
+    rows = events.where(F.coalesce("meeting_id", F.lit("")) != "").select("meeting_id", "type", F.unix_micros("ts").alias("ts"), "payload")
+    out = _stateful(rows, LogProcessor(every, quiet), "meeting_id string, type string, ts bigint, payload string, seq bigint", timed=True)
+    return out.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def culture(windows: DataFrame, load: Callable[[], embedding.Classify] = embedding.no_classifier, hold: int = 30, idle_ms: int | None = None) -> DataFrame:

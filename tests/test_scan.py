@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import consensus as C
 from colloquy.operators import events as E
 from colloquy.operators import scan
+from colloquy.operators import shards as S
 from colloquy.sources.shared import fresh
 from colloquy.streaming import stateful as T
 
@@ -128,3 +129,14 @@ def test_clocks_of_a_thousand_speakers(spark):
     df = spark.range(2000).select(F.lit("m").alias("meeting_id"), F.concat(F.lit("s"), F.col("id") % 1000).alias("speaker_id"), F.col("id").alias("seq"))
     sizes = E.with_clocks(df).select("seq", F.size("vclock").alias("k"), F.aggregate(F.map_values("vclock"), F.lit(0).cast("long"), lambda a, x: a + x).alias("sum")).collect()
     assert sorted((r["seq"], r["k"], r["sum"]) for r in sizes) == [(i, min(i + 1, 1000), i + 1) for i in range(2000)]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "Etc/UTC"])
+def test_times_pass_whatever_the_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(4).select(F.lit("m").alias("meeting_id"), F.lit("s").alias("speaker_id"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 9).alias("arrived_at"), F.array(F.struct(F.timestamp_seconds("id").alias("t"))).alias("more"))
+        rows = S.timed_shards(E.with_clocks(df), 10).select("seq", F.unix_timestamp("arrived_at").alias("at"), F.unix_timestamp(F.col("more")[0]["t"]).alias("t"), "first", F.unix_timestamp("opened_at").alias("o"), F.map_values("vclock")[0].alias("n")).collect()
+        assert sorted(tuple(r) for r in rows) == [(i, 9 * i, i, i // 2 * 2 + 1, 18 * (i // 2), i + 1) for i in range(4)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -31,7 +31,7 @@ def texts(spark, *rows):
 def test_a_second_run_embeds_new_texts_only(spark):
     path = fresh(spark, "vectors")
     first = M.embed_kept(texts(spark, "a", "A ", "bb", None, ""), sizes(), 1, "sizes", path)
-    assert {(r["id"], r["vec"][0]) for r in first.collect()} == {(0, 2.0), (1, 2.0), (2, 2.0), (3, 0.0), (4, 0.0)} or {r["id"] for r in first.collect()} == set(range(5))
+    assert {(r["id"], r["vec"][0]) for r in first.collect()} == {(0, 2.0), (1, 2.0), (2, 2.0), (3, 0.0), (4, 0.0)}
     assert M.kept_vectors(spark, path).count() == 3
     second = M.embed_kept(texts(spark, "bb", "ccc", "a"), sizes(), 1, "sizes", path)
     assert [r["vec"][0] for r in second.orderBy("id").collect()][:2] == [2.0, 3.0] and M.kept_vectors(spark, path).count() == 4

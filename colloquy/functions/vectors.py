@@ -28,10 +28,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(a: Column | str, least: float = 1e-12) -> Column:
-    """The vector divided by its norm, or by `least` if the norm is smaller."""
-    a = _col(a)
-    size = F.greatest(norm(a), F.lit(least))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    """The vector divided by its norm, or by `least` if the norm is smaller.
+
+    Vector and norm are bound by arrays of one element: an expression inside a lambda would be computed anew for every component.
+    """
+    by = lambda v, sizes: F.get(F.transform(sizes, lambda size: F.transform(v, lambda x: x.cast("double") / size)), F.lit(0))
+    return F.get(F.transform(F.array(_col(a)), lambda v: by(v, F.array(F.greatest(norm(v), F.lit(least))))), F.lit(0))
 
 
 def masked_mean(tokens: Column | str, mask: Column | str) -> Column:

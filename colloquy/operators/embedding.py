@@ -22,10 +22,19 @@ Classify = Callable[[str, list[str], str | None], tuple[list[str], str | None]]
 
 
 def hashed(text: Column, dim: int = 64) -> Column:
-    """The default model, without download or Python: signed word hashes summed in dim cells and brought to length one."""
+    """The default model, without download or Python: signed word hashes summed in dim cells and brought to length one.
+
+    Each word is hashed once and changes its own cell.
+    """
     h = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(F.pmod(x, F.lit(dim)) == i, F.when(F.shiftrightunsigned(x, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return unit(cells)
+
+    def add(cells: Column, x: Column) -> Column:
+        i = F.pmod(x, F.lit(dim)).cast("int")
+        own = F.get(cells, i) + F.when(F.shiftrightunsigned(x, 40) % 2 == 0, 1.0).otherwise(-1.0)
+        return F.concat(F.slice(cells, 1, i), F.array(own), F.slice(cells, i + 2, F.lit(dim)))
+
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return unit(F.aggregate(h, zero, add))
 
 
 def embed_keys(texts: DataFrame, load: Callable[[], Embed], dim: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 import xxhash
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from colloquy.functions import clocks as K
+from colloquy.functions.vectors import unit
 from colloquy.operators import embedding as M
 from colloquy.operators.numbering import numbered
 
@@ -52,3 +54,17 @@ def test_hashed_vectors_against_plain_sums(spark):
             want[signed % 16] += 1.0 if (h >> 40) % 2 == 0 else -1.0
         size = math.sqrt(sum(x * x for x in want)) or 1.0
         assert vec == pytest.approx([x / size for x in want])
+
+
+def test_hashed_vectors_of_long_texts_in_time(spark):
+    """A pass over the words for each cell and component took minutes here."""
+    rows = spark.range(0, 200, numPartitions=4).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat(F.lit("w"), (F.col("id") * i).cast("string"))), " ").alias("text"))
+    started = time.monotonic()
+    n = rows.select(F.explode(M.hashed(F.col("text"), 64)).alias("x")).agg(F.count("*"), F.sum(F.col("x") * F.col("x"))).first()
+    assert n[0] == 200 * 64 and abs(n[1] - 200) < 1e-6
+    assert time.monotonic() - started < 20
+
+
+def test_unit_of_null_and_zero(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0],), ([],), (None,)], "v array<double>")
+    assert [r[0] for r in rows.select(unit("v")).collect()] == [[0.6, 0.8], [0.0], [], None]

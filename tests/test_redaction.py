@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as X
 from colloquy.operators import redaction as R
 from colloquy.sources.keys import meeting_keys, wrapped_keys
 from colloquy.sources.shared import fresh
@@ -185,3 +186,28 @@ def test_texts_without_a_meeting_are_redacted_too(spark):
     assert got == {("", 1): "write to [EMAIL_1]", ("m", 2): "[EMAIL_1]", ("m", 30_000): "[EMAIL_2]"}
     parts = R.redaction_map(R.tokens(R.redact(df))).collect()
     assert sorted((r["meeting_id"], r["kind"], r["part"], len(r["entries"])) for r in parts) == [("", "EMAIL", 0, 1), ("m", "EMAIL", 0, 2)]
+
+
+def test_detectors_run_once_over_long_meetings_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    out = R.redact(spark.createDataFrame([("m", "a", 9000 * i, "x@y.zz") for i in range(4)], SCHEMA))
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()  # what the detectors found is written, without clear text
+    assert "x@y" not in str(out.drop("redactions").collect())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    short = R.redact(spark.createDataFrame([("m", "a", 1, "x@y.zz")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "_nfkc" not in short  # no second Python worker a task for the normal form
+
+
+def test_rows_carry_their_own_allowed_texts_only(spark):
+    allow = spark.createDataFrame([("m", f"a{i}@b.cd") for i in range(500)] + [("n", "a1@b.cd")], "meeting_id string, token string")
+    df = spark.createDataFrame([("m", "a", i, f"a{i}@b.cd and z{i}@b.cd, \uff41{i}@b.cd") for i in range(600)], SCHEMA)
+    assert R._with_own_allowed(df, allow, (), ()).agg(F.max(F.size("_allowed"))).first()[0] == 1
+    got = {r["seq"]: r["redacted_text"] for r in R.redact(df, allow).where("seq in (0, 499, 500)").collect()}
+    assert got[0] == "a0@b.cd and [EMAIL_1], a0@b.cd" and got[499] == "a499@b.cd and [EMAIL_500], a499@b.cd"
+    assert got[500] == "[EMAIL_501] and [EMAIL_502], [EMAIL_503]"
+
+
+def test_normal_form_of_one_text_equals_the_columns(spark):
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = spark.createDataFrame([("".join(map(chr, points[i : i + 4096])),) for i in range(0, len(points), 4096)], "text string")
+    assert all(X.normal(a) == b for a, b in rows.select("text", X.strip_format(X.nfkc(F.col("text")))).collect())

@@ -59,26 +59,31 @@ class ConsensusProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         score, ref, total, n = self.meeting.get() if self.meeting.exists() else (0.0, [], [], 0)
         ref, total = np.array(ref, float), np.array(total, float)
-        out = []
+        out, speakers, spoke = [], {}, set()  # a call of the state is a round trip to the JVM: one a speaker and batch, not one a row
         for row in _in_order(rows).itertuples(index=False):
             who = (row.speaker_id,)
-            known = self.speaker.getValue(who) if self.speaker.containsKey(who) else None
+            if who not in speakers:
+                speakers[who] = tuple(np.array(x, float) for x in self.speaker.getValue(who)) if self.speaker.containsKey(who) else None
+            known = speakers[who]
             stale = row.vec is None
             if stale and known is None:
                 continue
-            v = np.array(known[1] if stale else row.vec, float)
+            v = known[1] if stale else np.array(row.vec, float)
             if not len(v):
                 continue
             if len(total) and len(total) != len(v):
                 raise ValueError(f"vectors of meeting {key[0]} differ in length")
-            first, last = (np.array(known[0], float), np.array(known[1], float)) if known else (v, None)
+            first, last = known if known else (v, None)
             cos = _cosine(v, ref) if len(ref) else 0.0
             before, score = score, NEW * cos + KEEP * score
             n += last is None
             ref = total / n if len(total) else np.zeros(len(v))
             total = (total if len(total) else np.zeros(len(v))) + v - (0 if last is None else last)
-            self.speaker.updateValue(who, (first.tolist(), v.tolist()))
+            speakers[who] = (first, v)
+            spoke.add(who)
             out.append((key[0], row.speaker_id, _number(row.seq), cos, score, score - before, 1 - _cosine(v, first), stale))
+        for who in spoke:
+            self.speaker.updateValue(who, tuple(x.tolist() for x in speakers[who]))
         self.meeting.update((float(score), ref.tolist(), total.tolist(), int(n)))
         yield pd.DataFrame(out, columns=["meeting_id", "speaker_id", "seq", "cos", "score", "delta", "drift", "stale"])
 

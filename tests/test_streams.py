@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,28 @@ def test_culture_keeps_its_last_answer(spark):
     assert {(r["meeting_id"], int(r["start"].timestamp()) - 1_704_067_200): (r["tags"], r["note"]) for r in got} == {k: v for k, v in want.items() if k[1] not in (10, 95)}
     asked = M.prompt(["x", "é"], "ja")
     assert asked[-1] == {"role": "user", "content": 'Utterances (language hint: ja): ["x", "é"]'} and asked[0]["role"] == "system"
+
+
+def test_consensus_asks_the_state_once_a_speaker():
+    calls = []
+
+    one = T.ConsensusProcessor()
+    held = {}
+
+    class Value:
+        exists = staticmethod(lambda: "v" in held)
+        get = staticmethod(lambda: held["v"])
+        update = staticmethod(lambda v: held.__setitem__("v", v))
+
+    class Speakers:
+        containsKey = staticmethod(lambda k: calls.append("has") or k in held)
+        getValue = staticmethod(lambda k: calls.append("get") or held[k])
+        updateValue = staticmethod(lambda k, v: calls.append("update") or held.__setitem__(k, v))
+
+    one.meeting, one.speaker = Value, Speakers
+    rows = pd.DataFrame({"meeting_id": "m", "speaker_id": ["a", "b", "a", "b"] * 50, "seq": range(200), "vec": [[float(i % 7), 1.0] if i % 5 else None for i in range(200)]})
+    whole = pd.concat(one.handleInputRows(("m",), iter([rows]), None))
+    assert len(calls) <= 6
+    held.clear()
+    parts = [next(one.handleInputRows(("m",), iter([rows[i : i + 40]]), None)) for i in range(0, 200, 40)]
+    assert pd.concat(parts).reset_index(drop=True).equals(whole.reset_index(drop=True))

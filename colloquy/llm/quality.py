@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import Recent, by_batches, saved, texts_of
+from colloquy.sources.shared import small_batches
 
 BUCKETS = 1 << 20
 _FOLD = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1*"), r"\1")]
@@ -197,6 +198,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str = "
     least of them counts.
     """
     graded = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
+    small_batches(docs.sparkSession)
     known = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     chosen = graded.join(known, id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(rows)
     texts = _lengthless(docs, id_col, text_col).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id").groupBy("_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
@@ -262,14 +264,15 @@ def rate_quality(docs: DataFrame, model: OrdinalModel, least: float = 1.5, text_
     repeats and ties don't matter; whole texts of any length are read; other columns, whatever their names, are carried
     along; an empty table stays empty.
     """
-    cols = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text")]
+    small_batches(docs.sparkSession)
+    row, text_at = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs.columns.index(docs.select(docs[text_col]).columns[0])  # the text goes to Python and back in its row, once
     schema = f"_row {docs.schema.simpleString()}, _score double, _expected double, _tails array<double>, _kept boolean"
 
     def make():
         score = model.scorer()
 
         def step(batch: pa.RecordBatch) -> dict:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(0).field(text_at))
             blank = np.array([not t or t.isspace() for t in texts])
             scores = np.where(blank, -np.inf, [score(t) for t in texts])
             tails = np.where(blank[:, None], 0.0, model.tails(scores))
@@ -278,4 +281,4 @@ def rate_quality(docs: DataFrame, model: OrdinalModel, least: float = 1.5, text_
 
         return step
 
-    return by_batches(docs.select(*cols), make, schema)
+    return by_batches(docs.select(row), make, schema)

@@ -14,7 +14,7 @@ from colloquy.llm.near import without_near_copies
 from colloquy.llm.packing import pack
 from colloquy.llm.quality import grades_of, rate_quality, train_quality
 from colloquy.llm.secret_scan import mask_secrets
-from colloquy.sources.shared import fresh, scratch
+from colloquy.sources.shared import fresh, scratch, small_batches
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one group, null ids rank last, of rows repeated with one id one stays. An empty table stays empty.
     """
+    small_batches(spark)
     return without_copies(docs)
 
 
@@ -41,17 +42,20 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Texts without words are one class, different texts under one id are different documents, null ids rank last. An empty
     table stays empty.
     """
+    small_batches(spark)
     return without_near_copies(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets in the texts; every document stays, and n_chars follows its text. Null texts stay null with a null n_chars."""
+    small_batches(spark)
     masked = mask_secrets(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 1024 ids; null and empty texts are the end id alone, and an empty table gives no rows."""
+    small_batches(spark)
     return pack(docs)
 
 

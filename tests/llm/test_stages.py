@@ -1,6 +1,9 @@
 """Pipeline stages on nulls, empty texts, repeated ids, clashing names and empty tables."""
 
+import numpy as np
+
 import corpus_pipeline
+from colloquy.llm.quality import OrdinalModel, rate_quality
 
 COLUMNS = "doc_id long, text string, n_chars long, _row string, _id string, node long, _words string, kept boolean"
 
@@ -31,3 +34,17 @@ def test_run_leaves_no_scratch(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_stages_send_texts_once_and_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a fine text"), (2, " "), (3, None)], "doc_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.set(name, "10000")
+        stage(spark, docs, "")
+        assert int(spark.conf.get(name)) <= 1000
+    spark.conf.set(name, "10000")
+    model = OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([-20.0, -10.0]))
+    rated = rate_quality(docs, model)
+    assert int(spark.conf.get(name)) <= 1000 and "_text" not in rated._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["_row"]["doc_id"]: r["_kept"] for r in rated.collect()} == {1: True, 2: False, 3: False}
